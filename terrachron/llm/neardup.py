@@ -6,9 +6,12 @@ coordinates must share one of (prefix), and none if too few lists are left (skip
 
 1. in every list all members meet its least member: linear in the list, and enough for groups around one original;
 2. lists whose members are still in different components are merged: members of different components with enough
-   equal coordinates become candidates, in blocks, so that no list is gathered whole.
+   equal coordinates become candidates, in blocks, so that no list is gathered whole. A member can only be linked
+   through shingles that it shares with other components; how many these are is counted first, and skips the many
+   members of a group that differ from its original in words of their own.
 
-Candidates are confirmed on their full shingle sets, and the links' connected components are the result.
+Candidates are confirmed on their full shingle sets (in step 2 where the list is merged, so that only links leave
+it), and the links' connected components are the result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from terrachron.llm.shared import settle, small
 from terrachron.llm.textcore import as_text, chunks, mix, shingles, words
 
 COORDINATES = 40
-BLOCK = 2048
+BLOCK = 1024
 _seeds = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULT, _XOR = _seeds[:COORDINATES] | np.uint64(1), _seeds[COORDINATES:]
 
@@ -91,11 +94,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size:
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(few, F.col("id") == F.col("_id"), "left_semi").mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union of their full sets."""
-    pairs = settle(pairs)
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = settle(full_sets(docs, wanted, doc_id, text, size))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union of their full ``sets``."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     n = F.size(F.array_intersect("sa", "sb"))
     return settle(both.where(100 * n >= percent * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct())
@@ -110,25 +110,51 @@ def alike(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> D
     return both.where(fit & (same >= matches)).select("a", "b")
 
 
-def merge_lists(lists: DataFrame, matches: int) -> DataFrame:
-    """(a, b) of members of one list (key, i, j) in different components with enough equal coordinates.
+def shared_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, shared): the sorted shingles that each of ``members`` (id, component) shares with members of other components."""
+    each = members.join(sets, "id").select("id", "component", F.explode("set").alias("sh"))
+    across = each.groupBy("sh").agg((F.min("component") != F.max("component")).alias("x")).where("x").select("sh")
+    return each.join(across, "sh").groupBy("id").agg(F.array_sort(F.collect_list("sh")).alias("shared"))
 
-    ``lists`` has key, i, j, side, id, component, sig; rows are streamed in the order of their lists.
+
+def merge_lists(lists: DataFrame, matches: int, percent: int) -> DataFrame:
+    """(a, b) of linked members of one list (key, i, j) in different components.
+
+    A pair is checked in the first list that it shares, if both have enough equal coordinates and the intersection
+    that a link needs, percent / (100 + percent) of both sizes, is at most what either shares with other components;
+    the check counts common shingles among these. ``lists`` has key, i, j, side, id, component, n, shared, sig, keys;
+    rows are streamed in the order of their lists, and of a list a block pair at a time is held.
     """
     schema = T.StructType([T.StructField("a", lists.schema["id"].dataType), T.StructField("b", lists.schema["id"].dataType)])
 
-    def pairs_of(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(t: pa.Table) -> list[tuple[int, int]]:
+        ids, comp, side, n = (t.column(c).to_numpy() for c in ("id", "component", "side", "n"))
+        here = t.column("key")[0].as_py()
+        nested = {c: t.column(c).combine_chunks() for c in ("sig", "shared", "keys")}
+        nested = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in nested.items()}
+        sig = nested["sig"].flatten().to_numpy().reshape(len(t), -1)
+        shared, own = nested["shared"].flatten().to_numpy(), np.diff(nested["shared"].offsets.to_numpy())
+        first = np.append(0, np.cumsum(own))
+        n_keys = np.diff(nested["keys"].offsets.to_numpy())
+        keys = np.full((len(t), n_keys.max()), np.iinfo(np.int64).max)
+        keys[np.arange(keys.shape[1])[None, :] < n_keys[:, None]] = nested["keys"].flatten().to_numpy()
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        xs, ys = [], []
-        for k in range(0, len(left), 128):
-            rows = left[k : k + 128]
-            near = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2) >= matches
-            near &= (comp[rows][:, None] != comp[right][None, :]) & (ids[rows][:, None] != ids[right][None, :])
-            x, y = np.nonzero(near)
-            xs.append(ids[rows[x]])
-            ys.append(ids[right[y]])
-        a, b = np.concatenate(xs), np.concatenate(ys)
-        return np.minimum(a, b), np.maximum(a, b)
+        out = []
+        for x in left:
+            y = right[(comp[right] != comp[x]) & ((100 + percent) * np.minimum(own[x], own[right]) >= percent * (n[x] + n[right]))]
+            y = y[(sig[y] == sig[x]).sum(1) >= matches]
+            before = keys[x][keys[x] < here]
+            if len(before) and len(y):
+                y = y[~np.isin(keys[y], before).any(1)]
+            if not len(y):
+                continue
+            other = np.concatenate([shared[first[k] : first[k + 1]] for k in y])
+            mine = shared[first[x] : first[x + 1]]
+            hit = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+            both = np.add.reduceat(hit, np.append(0, np.cumsum(own[y])[:-1]), dtype=np.int64)
+            y = y[100 * both >= percent * (n[x] + n[y] - both)]
+            out += [(min(ids[x], k), max(ids[x], k)) for k in ids[y]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -144,14 +170,12 @@ def merge_lists(lists: DataFrame, matches: int) -> DataFrame:
             yield from emit(held, np.array([0, len(held)]))
 
     def emit(t: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, comp, side = (t.column(c).to_numpy() for c in ("id", "component", "side"))
-        sig = t.column("sig").combine_chunks()
-        sig = sig.flatten().to_numpy().reshape(len(t), -1)
-        found = [pairs_of(ids[x:y], comp[x:y], side[x:y], sig[x:y]) for x, y in zip(cut, cut[1:]) if y - x > 1]
-        for a, b in found:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for x, y in zip(cut, cut[1:]):
+            found = pairs_of(t.slice(x, y - x)) if y - x > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(c[k]) for c in found], schema_of) for k in (0, 1)], ["a", "b"])
 
+    schema_of = pa.int64() if schema[0].dataType == T.LongType() else pa.int32()
     return lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema).distinct()
 
 
@@ -174,8 +198,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     by = by.where(F.size("lists") >= matches).select("id", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))).alias("l")).select("id", F.col("l.key").alias("key"))
     prefix = settle(by)
     hubs = prefix.groupBy("key").agg(F.min("id").alias("a"))
-    star = prefix.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = confirmed(alike(star, classes, matches, percent), docs, doc_id, text, size, percent)
+    star = settle(alike(prefix.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, matches, percent))
+    wanted = settle(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = confirmed(star, settle(full_sets(docs, wanted, doc_id, text, size)), percent)
     # several texts of one id join their classes
     several = rows.where("n > 0").groupBy("doc_id").agg((F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("s")).where("s").select("doc_id")
     own = rows.select("doc_id", "h1", "h2", "n").join(several, "doc_id").join(classes.drop("sig"), ["h1", "h2", "n"]).where("doc_id <> id")
@@ -183,17 +208,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     first = settle(components(links))
     label = F.coalesce("component", "id")
     labelled = settle(prefix.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label.alias("component")))
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open")).where("open AND m > 1")
-    dealt = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open")
+    open_lists = settle(labelled.join(mixed.select("key"), "key"))
+    members = settle(open_lists.select("id", "component").distinct())
+    sets = settle(full_sets(docs, members.select("id"), doc_id, text, size))
+    able = members.select("id").join(classes.select("id", "n", "sig"), "id").join(shared_sets(members, sets), "id")
+    # the smallest partner that a link allows has percent / 100 of its size
+    able = settle(able.where(100 * F.size("shared") >= percent * F.col("n")))
+    dealt = open_lists.join(able.select("id"), "id")
+    dealt = settle(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
+    able = able.join(dealt.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # a member of block k meets the blocks k.. as the left side, and the blocks ..k as the right
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("key", "id", "component", "own", other).select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"))
-    lists = dealt.join(classes.select("id", "sig"), "id")
-    more = merge_lists(lists, matches).join(links, ["a", "b"], "left_anti")
-    more = settle(more)
+    more = settle(merge_lists(dealt.join(able, "id"), matches, percent))
     if not more.isEmpty():
-        found = confirmed(more, docs, doc_id, text, size, percent)
-        first = settle(components(links.unionAll(found)))
+        first = settle(components(links.unionAll(more)))
     of_class = classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("sig").join(of_class, ["h1", "h2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
