@@ -17,13 +17,18 @@ def wide(states: DataFrame, years: list[int]) -> DataFrame:
     return states.groupBy(*KEY).agg(*cols)
 
 
-def events(history: DataFrame, years: list[int], p: Params) -> DataFrame:
-    return with_events(history, years, p)
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed before anything that reads them.
+
+    Without it the optimizer moves a filter on a fact below its projections and writes out the fact's whole expression
+    in each place that names it; rows stay in generated code.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
 
 
 def facts(history: DataFrame, years: list[int], p: Params) -> DataFrame:
     """All sequence facts of each pixel; no shuffle."""
-    return with_trajectories(with_events(history, years, p), len(years), p)
+    return computed_once(with_trajectories(computed_once(with_events(history, years, p)), len(years), p))
 
 
 def extent(history: DataFrame) -> DataFrame:
@@ -55,4 +60,4 @@ def scored(pixel: DataFrame, grid: DataFrame, t: int, p: Params) -> DataFrame:
     a, b, c, d = p.weights
     score = lasting * a + F.col("pre_mode_frac") * b + F.col("purity") * c + F.col("support") * d
     out = out.withColumn("score", F.when(F.col("event"), score).otherwise(0.0))
-    return out.withColumn("tier", F.when(F.col("event"), tier(F.col("score"), p)).otherwise(0))
+    return computed_once(out.withColumn("tier", F.when(F.col("event"), tier(F.col("score"), p)).otherwise(0)))
