@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrachron.llm.shared import settle
@@ -25,10 +25,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: every node links its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        e = settle(small.where("a <> b").distinct())
-        stats = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if before == tuple(stats):
+        seen = Observation()
+        e = settle(small.where("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        stats = (seen.get["n"], seen.get["s"])
+        if before == stats:
             roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
-        before = tuple(stats)
+        before = stats
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -60,7 +60,7 @@ class _Sql:
         k, size = self.var("k"), CHUNK[base]
 
         def part(x: str) -> str:
-            la, lb = f"(length({x}) div 2)", f"(length({x}) - length({x}) div 2)"
+            la, lb = f"(length({x}) div 2)", f"((length({x}) + 1) div 2)"
             num = lambda y: f"coalesce(cast(conv(nullif({y}, ''), {base}, 10) as bigint), 0L)"
             power = lambda n: f"cast(pow({base}, {n}) as bigint)"
             net = self.network(kind, num(f"left({x}, {la})"), num(f"right({x}, {lb})"), power(la), power(lb))
@@ -72,7 +72,7 @@ class _Sql:
     def refill(self, h: str, new: str, kept: str) -> str:
         """``h`` with its characters of the class ``kept`` taken from ``new`` in order."""
         c, i = self.var("c"), self.var("i")
-        return f"array_join(transform(split({h}, ''), ({c}, {i}) -> if({c} rlike '[{kept}]', substr({new}, length(regexp_replace(left({h}, {i} + 1), '[^{kept}]', '')), 1), {c})), '')"
+        return self.let(new, lambda v: f"array_join(transform(split({h}, ''), ({c}, {i}) -> if({c} rlike '[{kept}]', substr({v}, length(regexp_replace(left({h}, {i} + 1), '[^{kept}]', '')), 1), {c})), '')")
 
     def luhn(self, digits: str) -> str:
         """The Luhn sum of a digit string, the last digit counted once."""
@@ -142,8 +142,7 @@ class _Sql:
         return f"concat({new}, '@', substring_index({h}, '@', -1))"
 
     def secret(self, h: str) -> str:
-        new = self.string("secret", f"lower({h})", 16)
-        return f"if({h} rlike '[A-F]', upper({new}), {new})"
+        return self.let(self.string("secret", f"lower({h})", 16), lambda v: f"if({h} rlike '[A-F]', upper({v}), {v})")
 
     def value(self, h: str) -> str:
         whole = {k: "^(?:" + p.replace("\\", "\\\\") + ")$" for k, p in PATTERNS.items()}
