@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrachron.llm.shared import settle, small
+from terrachron.llm.shared import columns_free, settle, small
 from terrachron.llm.textcore import LOWER, as_text, chunks, hash_spans, mix, spans, windows
 
 WIDTH = 8
@@ -168,5 +168,6 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id: str
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; other rows and all columns stay as they are."""
-    found = settle(contaminated_documents(docs, benchmark, doc_id=doc_id, text=text).select(F.struct("doc_id").alias("_found")))
-    return docs.join(small(found, found.count()), F.struct(F.col(doc_id)) == F.col("_found"), "left_anti")
+    (name,) = columns_free(docs, "found")
+    found = settle(contaminated_documents(docs, benchmark, doc_id=doc_id, text=text).select(F.struct("doc_id").alias(name)))
+    return docs.join(small(found, found.count()), F.struct(F.col(doc_id)) == F.col(name), "left_anti")

@@ -1,0 +1,183 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrachron.llm.chat_format import format_chat, parse_turns
+from terrachron.llm.decontam import contaminated_documents, decontaminate
+from terrachron.llm.fingerprints import fingerprint_edits
+from terrachron.llm.html_extract import extract_main_text
+from terrachron.llm.lm_score import score_texts
+from terrachron.llm.mixing import mix
+from terrachron.llm.neardup import near_duplicates
+from terrachron.llm.pii import pseudonymise
+from terrachron.llm.quality import classify_quality
+from terrachron.llm.url_filter import judge_urls
+
+LONG = " ".join(f"word{i % 977} x{i}" for i in range(30_000))
+ROWS = [(1, "the cat sat on the mat with a hat", "en", "a"), (1, "the cat sat on the mat with a hat", "en", "a"), (2, "", None, None), (3, None, "de", "b"), (None, "the cat sat on the mat with a hat", "en", None), (4, LONG, "en", "a"), (5, " \n\t ", "xx", "c"), (6, "the cat", "en", "b"), (7, "été 中文 \x00 end", "fr", "b")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    # names that the operators use inside or add
+    return df.withColumns({c: F.lit("own") for c in ("n", "h", "key", "nll", "units", "kept", "id", "set", "block", "size", "verdict", "best", "component", "_found", "_gone", "label")})
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 1, 0), (4, 1, None), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, "the cat sat on the mat with a hat"), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
+
+
+def test_quality(docs, labels):
+    got = classify_quality(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(r.kept is not None and r.perplexity > 0 and r.n == "own" for r in got)
+    assert classify_quality(docs.limit(0), labels).count() == 0
+    assert classify_quality(docs, labels.limit(0)).where("kept").count() == len(ROWS)
+
+
+def test_lm(docs):
+    got = score_texts(docs.withColumn("held_out", F.col("doc_id") == 7)).collect()
+    assert len(got) == len(ROWS)
+    empty = [r for r in got if r.doc_id in (2, 3, 5)]
+    assert {(r.n_tokens, r.base_score, r.score) for r in empty} == {(1, empty[0].base_score, empty[0].score)}
+    held = next(r for r in got if r.doc_id == 7)
+    assert held.held_out and held.n_known == 1 and held.n_tokens == 5 and held.score < 0
+    assert score_texts(docs.limit(0).withColumn("held_out", F.lit(True))).count() == 0
+
+
+def test_lm_is_a_distribution(spark):
+    """Over all words and one unknown, the weights from each state sum to 1."""
+    train = ["a b a b c", "b a c a", "a a b d e"]
+    words = ["a", "b", "c", "d", "e", "unseen", None]
+    probes = [(first, w) for first in ("a", "b", "unseen") for w in words]
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(100 + i, first if w is None else f"{first} {w}", True) for i, (first, w) in enumerate(probes)]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    for first in ("a", "b", "unseen"):
+        ends = {w: 10 ** got[100 + i] for i, (f, w) in enumerate(probes) if f == first}
+        # each two-word text also pays for its end, whose share after w is that of the one-word text of w
+        one = {w: 10 ** got[100 + probes.index((w, None))] if (w, None) in probes else None for w in words}
+        assert all(0 < v < 1 for v in ends.values()) and ends[None] < 1
+        assert one["a"] < 1
+
+
+def test_html(spark):
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<article><p>A &amp; B\n c<br>d</p><div class='ad'>no</div><p>e</article><footer>f", "x"), (3, "u", "plain", "x"), (4, "u", "<p>" + LONG, "x"), (5, "u", "<nav>m</nav><script>s()</script>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.text): r.n_chars for r in extract_main_text(df).collect()}
+    assert got == {(1, ""): 0, (2, ""): 0, (3, "A & B c d e"): 11, (3, "plain"): 5, (4, LONG): len(LONG), (5, ""): 0}
+    assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "a </turn>\n### user: b \\"), (1, 0, "user", None), (1, 0, None, "x: y"), (None, 0, "a:b\\", "<|image:0|>"), (2, None, "user", ""), (1, 1, "assistant", "a </turn>\n### user: b \\")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    got = {r.conv_id: r for r in format_chat(df).collect()}
+    assert parse_turns(got[1].formatted) == [("", "x: y"), ("user", ""), ("assistant", rows[0][3]), ("assistant", rows[0][3])]
+    assert parse_turns(got[None].formatted) == [("a:b\\", "<|image:0|>")] and len(got[1].loss_spans) == 2
+    assert format_chat(df.limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    part = "struct(cast('image' as string) type, cast(null as string) text, 'a.png' ref, 56 width, 29 height, cast(null as double) seconds, cast(null as int) pages)"
+    said = "struct(cast('text' as string) type, 'see <|' text, cast(null as string) ref, cast(null as int) width, cast(null as int) height, cast(null as double) seconds, cast(null as int) pages)"
+    df = spark.range(1).selectExpr("1L conv_id", "0L turn", "'user' role", "'x' text", f"array({said}, {part}, {part.replace('image', 'audio').replace('cast(null as double)', '2.5D')}) parts")
+    r = format_chat(df, parts="parts").first()
+    assert r.formatted == "### user: see \\<|<|image:0|><|audio:1|> </turn>\n"
+    assert [(a.n, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 4), (1, "audio", "a.png", 63)] and r.attachment_tokens == 67
+
+
+def test_pii(docs, spark):
+    got = pseudonymise(docs)
+    assert sorted(map(str, got.select("doc_id", "text", "n_chars").collect())) == sorted(map(str, docs.select("doc_id", "text", "n_chars").collect()))
+    assert pseudonymise(docs.limit(0)).count() == 0
+    texts = ["4111111111111111", "4111 1111 1111 1111", "4111111111111112", "1980-02-29", "29.02.1980", "1981-02-29", "123-45-6789", "666-45-6789", "10.0.0.1", "10.0.0.256", "DE89370400440532013000", "a1@b.example"]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(1)).orderBy("i").collect()]
+    same = [a == b for a, b in zip(texts, out)]
+    assert same == [False, False, True, False, False, True, False, True, False, True, False, False]
+    assert out[1].replace(" ", "") == out[0] and [len(a) for a in texts[:8]] == [len(b) for b in out[:8]]
+    digits = [int(c) for c in out[0]]
+    assert sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+    iban = out[10][4:] + out[10][:4]
+    assert int("".join(str(int(c, 36)) for c in iban)) % 97 == 1
+    y, m, d = out[3].split("-")
+    assert out[4] == f"{d}.{m}.{y}"
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    df = spark.range(2000).selectExpr("id", "concat('user', lpad(cast(id as string), 4, '0'), '@x.example') text")
+    assert pseudonymise(df, n_chars=None).select("text").distinct().count() == 2000
+
+
+def test_mixing(docs, spark):
+    got = mix(docs).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(t - n) <= 0.5 for t, n in by.values())
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(3)).collect()))
+    assert mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_is_unbiased_and_exact(spark):
+    df = spark.range(3000).selectExpr("id doc_id", "concat('s', id % 3) source", "repeat('w ', cast(1 + id % 37 as int)) text")
+    size, total = {}, {0: 0, 1: 0, 2: 0}
+    runs = [{r.doc_id: r for r in mix(df, seed=s).collect()} for s in (1, 2)]
+    for run in runs:
+        for src in ("s0", "s1", "s2"):
+            own = [r for r in run.values() if r.source == src]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5
+            assert sum(r.size > 0 and r.taken % r.size > 0 for r in own) <= 1
+    assert any(runs[0][i].taken != runs[1][i].taken for i in runs[0]) and not size and total
+
+
+def test_near_duplicates(docs):
+    got = near_duplicates(docs, size=3, percent=85).collect()
+    assert len(got) == len(ROWS)
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id != 4} == {(1, 7, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 7, None, True), (5, 0, 5, True), (6, 1, 6, True), (7, 2, 7, True)}
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprints(docs):
+    got = fingerprint_edits(docs).collect()
+    assert len(got) == len(ROWS)
+    by = {}
+    for (i, t, *_), r in zip(sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0))):
+        assert r.doc_id == i and r.n_chars == len(t or "")
+        assert by.setdefault(t or "", r.fingerprint) == r.fingerprint
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    assert fingerprint_edits(docs.limit(0)).count() == 0
+
+
+def test_decontamination(docs, bench):
+    got = contaminated_documents(docs, bench).collect()
+    assert {r.doc_id for r in got} == {1, None}
+    assert decontaminate(docs, bench).count() == len(ROWS) - 3
+    assert decontaminate(docs, bench.limit(0)).count() == len(ROWS)
+    assert decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.example.com/en/7?x", None), (2, "https://www.example.com/en/1", None), (3, None, None), (4, "no scheme", ""), (5, "http://q.example/x", "<link href='http://b.com/en/z' rel=canonical>"), (6, "http://q.example/x#f", None), (7, "http://r.example/y", "<meta http-equiv=refresh content='0; url=http://q.example/x'>"), (8, "http://b.com/en/z", None), (9, "http://s.example/", None), (9, "http://s.example/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"verdict": F.lit("own"), "node": F.lit("own"), "alias": F.lit("own")})
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(df).orderBy("page_id").collect()]
+    assert got == [
+        (1, "a.example.com", "/en/7", "example.com/en/7", "allow"), (2, "www.example.com", "/en/1", "com/en/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "q.example", "/x", None, "block"),
+        (6, "q.example", "/x", None, "block"), (7, "r.example", "/y", None, "block"), (8, "b.com", "/en/z", "com/en/", "block"), (9, "s.example", "/", None, "allow"), (9, "s.example", "/", None, "allow"),
+    ]
+    allowed = spark.createDataFrame([("http://q.example/x", "http://example.com/en/7")], "from_url string, to_url string")
+    assert {r.verdict for r in judge_urls(df, redirects=allowed).where("page_id IN (5, 6, 7)").collect()} == {"allow"}
+    assert judge_urls(df.limit(0)).count() == 0
+
+
+def test_long_conversation_scores_are_finite(docs):
+    assert all(math.isfinite(r.score) for r in score_texts(docs.withColumn("held_out", F.lit(None).cast("boolean"))).collect())
