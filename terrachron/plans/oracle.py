@@ -133,7 +133,7 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY change_fraction
 hp AS (SELECT region, br, bc, arg_min(pair, (-k, pair)) pair FROM (SELECT region, br, bc, from_state * 100 + to_state pair, count(*) k FROM bl WHERE event GROUP BY ALL) GROUP BY ALL),
 hy AS (SELECT region, br, bc, arg_min(yoc, (-k, yoc)) yoc FROM (SELECT region, br, bc, yoc, count(*) k FROM bl WHERE event GROUP BY ALL) GROUP BY ALL),
 hs AS (SELECT region, br, bc, CAST(rank AS INT) AS rank, {BLOCK * 10} block_m, change_fraction, {case('CAST(floor(pair / 100) AS INT)', NAME, "''")} dominant_from, {case('pair % 100', NAME, "''")} dominant_to, yoc dominant_year, round(ms, 6) mean_score,
-  br * {BLOCK} + {BLOCK / 2} AS row, bc * {BLOCK} + {BLOCK / 2} AS col FROM hr JOIN hp USING (region, br, bc) JOIN hy USING (region, br, bc) WHERE rank <= {SPOTS} AND change_fraction > 0)"""
+  CAST(br * {BLOCK} + {BLOCK / 2} AS DOUBLE) AS row, CAST(bc * {BLOCK} + {BLOCK / 2} AS DOUBLE) AS col FROM hr JOIN hp USING (region, br, bc) JOIN hy USING (region, br, bc) WHERE rank <= {SPOTS} AND change_fraction > 0)"""
 
 
 def q(ctes: str, select: str) -> str:
@@ -170,7 +170,7 @@ SQL: dict[str, str] = {
     "lat_band": q(POINTS, f"SELECT id, {BAND.format('lat')} AS band FROM p"),
     "tile_id": q(POINTS, f"SELECT id, {TILE} AS tile FROM p"),
     "tiles_for_bbox": q(TILES, "SELECT id, tile, seq FROM tl"),
-    "tile_ranges": q(POINTS, f", x AS (SELECT DISTINCT {BAND.format('lat')} AS band, {ZONE.format('lon')} AS zone FROM p) SELECT band, zone, -80 + 8 * (strpos('{BANDS}', band) - 1) AS south, CASE WHEN band = 'X' THEN 84 ELSE -72 + 8 * (strpos('{BANDS}', band) - 1) END AS north, -186 + 6 * zone AS west, -180 + 6 * zone AS east FROM x"),
+    "tile_ranges": q(POINTS, f", x AS (SELECT DISTINCT {BAND.format('lat')} AS band, {ZONE.format('lon')} AS zone FROM p) SELECT band, zone, CAST(-80 + 8 * (strpos('{BANDS}', band) - 1) AS INT) AS south, CAST(CASE WHEN band = 'X' THEN 84 ELSE -72 + 8 * (strpos('{BANDS}', band) - 1) END AS INT) AS north, -186 + 6 * zone AS west, -180 + 6 * zone AS east FROM x"),
     "bbox_intersect": q(TILES, f", m AS (SELECT id, tile, west, south, east, north, -186 + 6 * zz AS tw, -180 + 6 * zz AS te, -80 + 8 * bb AS ts, CASE WHEN bb = 19 THEN 84 ELSE -72 + 8 * bb END AS tn FROM tl), k AS (SELECT id, tile, greatest(west, tw - CAST(0.003 AS DOUBLE)) AS west, greatest(south, ts - CAST(0.003 AS DOUBLE)) AS south, least(east, te + CAST(0.003 AS DOUBLE)) AS east, least(north, tn + CAST(0.003 AS DOUBLE)) AS north FROM m) SELECT id, tile, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north FROM k WHERE west < east AND south < north"),
     "epsg_code": q(POINTS, f"SELECT id, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + {ZONE.format('lon')} AS epsg FROM p"),
     "aoi_area": q(BOXES, f"SELECT id, {AREA} AS km2, {AREA} <= 1500 AS allowed FROM bx"),
