@@ -45,7 +45,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words that it takes of each."""
     chosen = settle(mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies", "taken"))
-    return docs.join(small(chosen, chosen.count()), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    # wider than ids, so always shuffled and never sent to every task
+    return docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
