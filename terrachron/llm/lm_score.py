@@ -6,7 +6,9 @@ A text is read once from left to right: the state is the word before, every arc
 
 Frequent words (over about 0.3% of all tokens, at most 1000, found exactly) are counted and scored where the texts
 are; that keeps hot words out of every shuffle. The arcs of all other words are sharded by their word: a shard
-tallies its words, then walks the arcs that the texts take into its words, and returns sums by document.
+tallies its words, then walks the arcs that the texts take into its words, and returns sums by document. A word that
+is just below frequent fills its shard in proportion to the input, so a shard of more than SHARD_BYTES is split by its
+runs of texts: the parts are tallied, the tallies merged (at most 1001 arcs a word), and each part scored with them.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrachron.llm.shared import settle
+from terrachron.llm.shared import settle, small
 from terrachron.llm.textcore import as_text, chunks, words
 
 END = np.uint64(1)
 FLUSH_TOKENS = 1_500_000
 LOCAL_SHARE, GLOBAL_SHARE = 0.002, 0.001
 BUCKET_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 _codec = pa.Codec("zstd", compression_level=1)
 
 
@@ -81,7 +84,7 @@ def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _gathered(docs: DataFrame, doc_id: str, text: str, held: str, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(kind, key, n, blob): 'd' a run of documents with their frequent arcs, 'h' counts of frequent arcs, 'e' arcs into a bucket's words."""
+    """(kind, key, n, blob): 'd' a run of documents with their frequent arcs, 'h' counts of frequent arcs, 'e' arcs into a bucket's words, with their bytes."""
     width = len(hot) + 1
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
@@ -114,7 +117,8 @@ def _gathered(docs: DataFrame, doc_id: str, text: str, held: str, hot: np.ndarra
                 if first[b] < first[b + 1]:
                     w, e = slice(first[b], first[b + 1]), slice(entry[b], entry[b + 1])
                     per = np.bincount(at[e] - first[b], minlength=first[b + 1] - first[b])
-                    blobs.append(("e", b, None, pack(flush, n_docs, np.packbits(train), uniq[w], per.astype(np.uint32), of[e].astype(np.uint32 if n_docs > 65535 else np.uint16), state[e].astype(np.uint16), n[e].astype(np.uint32))))
+                    blob = pack(flush, n_docs, np.packbits(train), uniq[w], per.astype(np.uint32), of[e].astype(np.uint32 if n_docs > 65535 else np.uint16), state[e].astype(np.uint16), n[e].astype(np.uint32))
+                    blobs.append(("e", b, len(blob), blob))
                 if len(blobs) >= 64 or b == buckets - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "key", "n", "blob"]) if blobs else pa.RecordBatch.from_pylist([], pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())]))
                     blobs = []
@@ -143,6 +147,18 @@ def _tally(blobs: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return uniq, count, arcs, np.bincount(back, weights=np.concatenate(ns), minlength=len(arcs)).astype(np.int64), words_of
 
 
+def _merge(tallies: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tally (words, counts, arcs, counts) of the parts' tallies."""
+    uniq, back = np.unique(np.concatenate([t[0] for t in tallies]), return_inverse=True)
+    count = np.zeros(len(uniq), dtype=np.int64)
+    np.add.at(count, back, np.concatenate([t[1] for t in tallies]))
+    first = np.cumsum([0, *(len(t[0]) for t in tallies)])
+    arcs, at = np.unique(np.concatenate([back[i + t[2] // width] * width + t[2] % width for i, t in zip(first, tallies)]), return_inverse=True)
+    n = np.zeros(len(arcs), dtype=np.int64)
+    np.add.at(n, at, np.concatenate([t[3] for t in tallies]))
+    return uniq, count, arcs, n
+
+
 def _counts_of_counts(kind: str, n: np.ndarray) -> list[tuple[str, int, int]]:
     return [(kind, k, int((n == k).sum())) for k in (1, 2, 3, 4)]
 
@@ -204,13 +220,31 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     table = settle(_gathered(docs, "doc_id", "text", "held_out", hot, max(4, -(-n_bytes // BUCKET_BYTES))))
     arcs = table.where("kind = 'e'").select("key", "blob")
+    split = settle(table.where("kind = 'e'").groupBy("key").agg(F.ceil(F.sum("n") / SHARD_BYTES).alias("parts")).where("parts > 1"))
+    n_split = split.count()
+    one = arcs.join(small(split, n_split), "key", "left_anti")
+    several = arcs.join(small(split, n_split), "key").select("key", F.pmod(F.xxhash64("blob"), "parts").alias("part"), "blob")
+
+    def part_tally(shard: pa.Table) -> pa.Table:
+        return pa.table({"key": shard.column("key")[:1], "blob": pa.array([pack(*_tally([unpack(x.as_py()) for x in shard.column("blob")], width)[:4])], pa.binary())})
+
+    def merged_tally(parts: pa.Table) -> pa.Table:
+        return pa.table({"key": parts.column("key")[:1], "blob": pa.array([pack(*_merge([unpack(x.as_py()) for x in parts.column("blob")], width))], pa.binary())})
+
+    tallies = settle(several.groupBy("key", "part").applyInArrow(part_tally, "key long, blob binary").groupBy("key").applyInArrow(merged_tally, "key long, blob binary"))
 
     def totals(shard: pa.Table) -> pa.Table:
-        uniq, count, arc, n, _ = _tally([unpack(x.as_py()) for x in shard.column("blob")], width)
+        return sums(*_tally([unpack(x.as_py()) for x in shard.column("blob")], width)[1:4])
+
+    def merged_totals(shard: pa.Table) -> pa.Table:
+        return sums(*unpack(shard.column("blob")[0].as_py())[1:])
+
+    def sums(count: np.ndarray, arc: np.ndarray, n: np.ndarray) -> pa.Table:
         rows = [("N", 0, int(count.sum())), ("V", 0, int((count > 0).sum())), *_counts_of_counts("uni", count), *_counts_of_counts("bi", n), *_context_rows(arc % width, n, width)]
         return pa.table({k: pa.array(c, t) for (k, t), c in zip((("name", pa.string()), ("i", pa.int64()), ("n", pa.int64())), zip(*rows))})
 
-    stats = arcs.groupBy("key").applyInArrow(totals, "name string, i long, n long").groupBy("name", "i").agg(F.sum("n").alias("n"))
+    named = "name string, i long, n long"
+    stats = one.groupBy("key").applyInArrow(totals, named).unionAll(tallies.groupBy("key").applyInArrow(merged_totals, named)).groupBy("name", "i").agg(F.sum("n").alias("n"))
     stats = {(r.name, r.i): r.n for r in stats.collect()}  # at most 4 * 1001 + 10 sums
     pairs = np.zeros(len(hot) * width, dtype=np.int64)
     for r in table.where("kind = 'h'").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -218,10 +252,17 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     weights = docs.sparkSession.sparkContext.broadcast(Weights(hot, pairs, stats))
 
     def shard_scores(shard: pa.Table) -> pa.Table:
-        w = weights.value
         blobs = [unpack(x.as_py()) for x in shard.column("blob")]
         _, count, arc, n, words_of = _tally(blobs, width)
-        out = []
+        return scored(blobs, words_of, count, arc, n)
+
+    def part_scores(part: pa.Table, tally: pa.Table) -> pa.Table:
+        blobs = [unpack(x.as_py()) for x in part.column("blob")]
+        uniq, count, arc, n = unpack(tally.column("blob")[0].as_py())
+        return scored(blobs, [np.repeat(np.searchsorted(uniq, own), per) for _, _, _, own, per, *_ in blobs], count, arc, n)
+
+    def scored(blobs: list[tuple], words_of: list[np.ndarray], count: np.ndarray, arc: np.ndarray, n: np.ndarray) -> pa.Table:
+        w, out = weights.value, []
         for (flush, n_docs, _, _, _, of, state, times), word in zip(blobs, words_of):
             key = word * width + state
             at = np.minimum(np.searchsorted(arc, key), max(0, len(arc) - 1))
@@ -232,9 +273,12 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             score = np.bincount(of, weights=times * w.log_arc(c, state.astype(np.int64), pair), minlength=n_docs)
             docs_at = np.flatnonzero(score)
             out.append((flush, pack(docs_at.astype(np.uint32), known[docs_at].astype(np.uint32), base[docs_at], score[docs_at])))
-        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array(["s"] * len(out)), "blob": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array(["s"] * len(out), pa.string()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
-    parts = arcs.groupBy("key").applyInArrow(shard_scores, "key long, kind string, blob binary")
+    by_run = "key long, kind string, blob binary"
+    for_parts = tallies.join(small(split, n_split), "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "blob")
+    parts = one.groupBy("key").applyInArrow(shard_scores, by_run)
+    parts = parts.unionAll(several.groupBy("key", "part").cogroup(for_parts.groupBy("key", "part")).applyInArrow(part_scores, by_run))
     schema = docs.select("doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def whole(flush: pa.Table) -> pa.Table:

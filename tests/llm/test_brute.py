@@ -10,7 +10,9 @@ import zlib
 import duckdb
 import pytest
 
-from terrachron.llm import queries
+from pyspark.sql import functions as F
+
+from terrachron.llm import lm_score, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +42,17 @@ def test_base_scores(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_split_shards_score_alike(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8, "doc_id").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    whole = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 9000)
+    split = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
+    assert split.keys() == whole.keys()
+    for i, r in split.items():
+        assert r[:5] == whole[i][:5]
+        assert (r.base_score, r.score) == pytest.approx((whole[i].base_score, whole[i].score))
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for i, t in docs:
