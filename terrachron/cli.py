@@ -1,4 +1,4 @@
-"""Command line: run and benchmark over an observation table in Parquet."""
+"""Command line: run, benchmark and validate over observation tables in Parquet, and serve their bundles."""
 
 from __future__ import annotations
 
@@ -6,43 +6,92 @@ import argparse
 import json
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrachron.functions.dims import Params
 from terrachron.functions.geo import fingerprint
-from terrachron.plans.engine import LandHistory
-from terrachron.plans.report import benchmark_table, story, summaries
+from terrachron.plans.engine import LandHistory, layers
+from terrachron.plans.report import benchmark_table, story, summaries, validation_text, validations
+from terrachron.sinks.bundles import Bundles
+from terrachron.sinks.images import overlay_tiles, overlays, raster_tiles
+
+
+def observed(spark: SparkSession, path: str, regions: list[str] | None = None, years: list[int] | None = None) -> DataFrame:
+    """An observation table; regions and years reach the scan."""
+    out = spark.read.parquet(path)
+    if regions:
+        out = out.where(F.col("region").isin(*[r if dict(out.dtypes)["region"] == "string" else int(r) for r in regions]))
+    return out.where(F.col("year").isin(*years)) if years else out
+
+
+def run(engine: LandHistory, bundles: Bundles, images: bool = False) -> None:
+    """Pixel facts as Parquet, and a bundle for each region; rows come to the driver one region or tile at a time."""
+    kept = engine.persisted()
+    kept.write(str(bundles.root / "tables"))
+    for region, text in summaries(kept).toLocalIterator():
+        bundles.write(region, "summary.json", text)
+        bundles.write(region, "summary.md", story(text))
+        if images:
+            bundles.write(region, "overlays/overlays.json", json.dumps({"layers": overlays(kept.pixels, kept.years)[1]}, indent=2))
+    if images:
+        bundles.write_tiles(raster_tiles(layers(kept.pixels)).toLocalIterator(), "rasters", "tif")
+        bundles.write_tiles(overlay_tiles(kept.pixels, kept.years).toLocalIterator(), "overlays", "png")
+    kept.release()
+
+
+def validate(engine: LandHistory, bundles: Bundles, second: DataFrame | None = None) -> None:
+    for region, text in validations(engine, second).toLocalIterator():
+        bundles.write(region, "validation.json", text)
+        bundles.write(region, "validation.md", validation_text(text))
+
+
+def benchmark(engine: LandHistory, bundles: Bundles) -> None:
+    """One row for each region, all of them in one job."""
+    rows = [r.asDict() for r in engine.benchmark().orderBy("region").toLocalIterator()]
+    bundles.root.mkdir(parents=True, exist_ok=True)
+    (bundles.root / "benchmark.json").write_text(json.dumps(rows, indent=2))
+    (bundles.root / "benchmark.md").write_text(benchmark_table(rows))
 
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="terrachron")
-    ap.add_argument("command", choices=["run", "benchmark", "validate"])
+    ap.add_argument("command", choices=["run", "benchmark", "validate", "serve"])
     ap.add_argument("observations", help="Parquet with region, r, c, year, src")
-    ap.add_argument("output")
+    ap.add_argument("output", help="folder of the bundles")
+    ap.add_argument("--region", action="append", help="only these regions")
+    ap.add_argument("--years", type=int, nargs="+", help="only these years")
+    ap.add_argument("--second", help="Parquet of a second product, to validate against")
+    ap.add_argument("--images", action="store_true", help="write GeoTIFF and PNG tiles too")
     ap.add_argument("--block-px", type=int, default=25)
+    ap.add_argument("--port", type=int, default=8000)
     ap.add_argument("--force", action="store_true")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("terrachron").getOrCreate()
-    engine = LandHistory(spark.read.parquet(a.observations), Params(block_px=a.block_px))
-    out = Path(a.output)
-    out.mkdir(parents=True, exist_ok=True)
-    mark = fingerprint({"command": a.command, "input": a.observations, "years": engine.years, "params": repr(engine.params)})
-    seen = out / f"{a.command}.fingerprint"
+    bundles, params = Bundles(a.output), Params(block_px=a.block_px)
+    if a.command == "serve":
+        from terrachron.service import Service, serve
+
+        def analyse(region: str, years: list[int] | None) -> None:
+            engine = LandHistory(observed(spark, a.observations, [region], years), params)
+            if not engine.years:
+                raise ValueError(f"no observations of region {region}")
+            run(engine, bundles, a.images)
+
+        serve(Service(bundles, analyse), a.port)
+        return 0
+    engine = LandHistory(observed(spark, a.observations, a.region, a.years), params)
+    mark = fingerprint({"command": a.command, "input": a.observations, "regions": a.region, "second": a.second, "images": a.images, "years": engine.years, "params": repr(engine.params)})
+    seen = Path(a.output) / f"{a.command}.fingerprint"
     if not a.force and seen.exists() and seen.read_text() == mark:
         return 0
     if a.command == "run":
-        engine.write(str(out))
-        for region, text in summaries(engine).toLocalIterator():
-            (out / f"{region}.json").write_text(text)
-            (out / f"{region}.md").write_text(story(text))
+        run(engine, bundles, a.images)
     elif a.command == "benchmark":
-        rows = [r.asDict() for r in engine.benchmark().orderBy("region").toLocalIterator()]
-        (out / "benchmark.json").write_text(json.dumps(rows, indent=2))
-        (out / "benchmark.md").write_text(benchmark_table(rows))
+        benchmark(engine, bundles)
     else:
-        held = engine.holdout()
-        rows = [] if held is None else [r.asDict() for r in held.orderBy("region", "bin").toLocalIterator()]
-        (out / "validation.json").write_text(json.dumps(rows, indent=2))
+        validate(engine, bundles, observed(spark, a.second, a.region) if a.second else None)
+    seen.parent.mkdir(parents=True, exist_ok=True)
     seen.write_text(mark)
     return 0
 

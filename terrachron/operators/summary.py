@@ -86,6 +86,12 @@ def tiers(pixel: DataFrame) -> DataFrame:
     return out.withColumns({f"{TIERS[k]}_pct": F.col(TIERS[k]) * 100 / F.greatest(F.col("events"), F.lit(1)) for k in (1, 2, 3)})
 
 
+def event_fraction(pixel: DataFrame, t: int) -> DataFrame:
+    """Events, the pixels that the first and last years observe, and their ratio."""
+    out = pixel.groupBy("region").agg(F.count_if("event").alias("events"), F.count_if((F.col("s0") != 0) & (F.col(f"s{t - 1}") != 0)).alias("pixels"))
+    return out.withColumn("fraction", F.col("events") / F.greatest("pixels", F.lit(1)))
+
+
 def change_fractions(pixel: DataFrame, t: int) -> DataFrame:
     """Shares of events and anomalies in the pixels that the first and last years observe, and the mean score of events."""
     both = F.greatest(F.count_if((F.col("s0") != 0) & (F.col(f"s{t - 1}") != 0)), F.lit(1))

@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions import geo
-from terrachron.functions.dims import SECOND_TO_STATE, STATES, Params
+from terrachron.functions.dims import SECOND_TO_STATE, STATE_COLOURS, STATES, Params
 from terrachron.functions.pixel import name_of, stable_change, state_is
 from terrachron.operators import blocks, history, states, summary, validation
 from terrachron.plans.engine import LandHistory, layers
 from terrachron.plans.oracle import SQL
 from terrachron.plans.report import summaries
+from terrachron.sinks.images import raster_tiles, tile_totals
 from terrachron.sources import observations as source
 
 PARAMS = Params(block_px=10)
 CHECK_YEAR = 1999
-# Colours of the states.
-COLOURS = {1: "#419bdf", 2: "#397d49", 3: "#e49635", 4: "#c4281b", 5: "#a59b8f", 6: "#b39fe1"}
+FIXTURE_TILE = 16
 
 
 def engine(spark: SparkSession, d: str) -> LandHistory:
@@ -96,7 +96,7 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
 
 def _colours(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
-    colour = F.element_at(F.array(*(F.lit(COLOURS[k]) for k in STATES)), F.col("state"))
+    colour = F.element_at(F.array(*(F.lit(STATE_COLOURS[k]) for k in STATES)), F.col("state"))
     n = e.states.where("state <> 0").groupBy("year", "state").agg(F.count("*").alias("pixels"))
     rgb = geo.hex_rgb(colour)
     return n.select("year", "state", "pixels", colour.alias("colour"), rgb["r"].alias("red"), rgb["g"].alias("green"), rgb["b"].alias("blue"))
@@ -156,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_scene": _best_scene,
         "evidence_pairs": _evidence,
         "raster_layers": on(lambda e: layers(e.pixels)),
+        "raster_tiles": on(lambda e: tile_totals(raster_tiles(layers(e.pixels), FIXTURE_TILE))),
         "overlay_colors": _colours,
         "remap_states": on(lambda e: e.states),
         "remap_states_alt": at(lambda o: states.canonical(o, SECOND_TO_STATE), second),
@@ -213,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confidence_scores": on(lambda e: e.scored.where("event").select(*KEY, F.round("score", 9).alias("score"))),
         "confidence_tiers": on(lambda e: e.scored.select(*KEY, "tier")),
         "tier_summary": on(lambda e: summary.tiers(e.scored)),
+        "event_fraction": on(lambda e: summary.event_fraction(e.facts, last + 1)),
         "change_fractions": on(lambda e: summary.change_fractions(e.pixels, last + 1)),
         "block_features": on(lambda e: e.features),
         "scaled_features": on(lambda e: blocks.scaled(e.features)),

@@ -157,6 +157,9 @@ SQL: dict[str, str] = {
         + ", ".join(f"{n} AS (SELECT region, rank, arg_min(scene_id, (cloud, scene_id)) AS id FROM y JOIN sn ON day BETWEEN make_date(year + {a[0]}, {a[1]}, {a[2]}) AND make_date(year + {b[0]}, {b[1]}, {b[2]}) GROUP BY ALL)" for n, a, b in (("b1", (-1, 1, 1), (-1, 6, 30)), ("b2", (-2, 1, 1), (-1, 6, 30)), ("a1", (1, 1, 1), (1, 12, 31)), ("a2", (0, 7, 1), (1, 12, 31))))
         + ", o AS (SELECT y.region, y.rank, year, coalesce(b1.id, b2.id) AS before, coalesce(a1.id, a2.id) AS after FROM y LEFT JOIN b1 USING (region, rank) LEFT JOIN b2 USING (region, rank) LEFT JOIN a1 USING (region, rank) LEFT JOIN a2 USING (region, rank)) SELECT * FROM o WHERE before IS NOT NULL AND after IS NOT NULL"),
     "raster_layers": q(AN, "SELECT region, r, c, yoc AS year_of_change, from_state, to_state, CAST(floor(score * 100 + 1e-9) AS INT) AS confidence, tier AS confidence_tier, archetype, CAST(anomaly AS INT) AS anomaly FROM pa"),
+    "raster_tiles": q(AN, ", l AS (SELECT region, r, c, CAST(yoc AS INT) AS year_of_change, CAST(from_state AS INT) AS from_state, CAST(to_state AS INT) AS to_state, CAST(floor(score * 100 + 1e-9) AS INT) AS confidence, CAST(tier AS INT) AS confidence_tier, CAST(archetype AS INT) AS archetype, CAST(anomaly AS INT) AS anomaly FROM pa),"
+        " u AS (SELECT * FROM l UNPIVOT INCLUDE NULLS (v FOR layer IN (year_of_change, from_state, to_state, confidence, confidence_tier, archetype, anomaly)))"
+        " SELECT region, CAST(r // 16 AS INT) AS tr, CAST(c // 16 AS INT) AS tc, layer, CAST(max(r % 16) + 1 AS INT) AS height, CAST(max(c % 16) + 1 AS INT) AS width, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM u GROUP BY ALL"),
     "overlay_colors": q(ST, ", k(state, colour) AS (VALUES (1, '#419bdf'), (2, '#397d49'), (3, '#e49635'), (4, '#c4281b'), (5, '#a59b8f'), (6, '#b39fe1')) SELECT year, state, count(*) AS pixels, colour, "
         + ", ".join(f"CAST(('0x' || substr(colour, {i}, 2)) AS INT) AS {n}" for i, n in ((2, "red"), (4, "green"), (6, "blue"))) + " FROM st JOIN k ON s = state GROUP BY year, state, colour"),
     "remap_states": q(ST, f"SELECT {KEY}, year, s AS state FROM st"),
@@ -214,6 +217,7 @@ SQL: dict[str, str] = {
     "confidence_scores": q(SC, f"SELECT {KEY}, round(score, 9) AS score FROM sc WHERE event"),
     "confidence_tiers": q(SC, f"SELECT {KEY}, tier FROM sc"),
     "tier_summary": q(SC, f"SELECT region, {TIERS} FROM sc GROUP BY 1"),
+    "event_fraction": q(AN + FL, f"SELECT region, count(*) FILTER (WHERE event) AS events, count(*) FILTER (WHERE s0 <> 0 AND s6 <> 0) AS pixels, count(*) FILTER (WHERE event) / {BOTH} AS fraction FROM pa JOIN fl USING (region, r, c) GROUP BY 1"),
     "change_fractions": q(AN + FL, f"SELECT region, count(*) FILTER (WHERE event) / {BOTH} AS event_fraction, count(*) FILTER (WHERE anomaly) / {BOTH} AS anomaly_fraction, round(coalesce(avg(score) FILTER (WHERE event), 0), 6) AS mean_score FROM pa JOIN fl USING (region, r, c) GROUP BY 1"),
     "block_features": q(TR + FEATS, "SELECT * FROM ft"),
     "scaled_features": q(TR + FEATS, "SELECT region, br, bc, " + ", ".join(f"round(coalesce(({f} - avg({f}) OVER k) / nullif(round(stddev_pop({f}) OVER k, 12), 0), 0), 6) AS {f}" for f in FNAMES) + " FROM ft WINDOW k AS (PARTITION BY region)"),

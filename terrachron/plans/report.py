@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions.dims import STATES
 from terrachron.functions.pixel import name_of
-from terrachron.operators import blocks, states, summary
+from terrachron.operators import blocks, states, summary, validation
 from terrachron.plans.engine import LandHistory
 
 
@@ -42,6 +42,47 @@ def summaries(engine: LandHistory, top: int = 10) -> DataFrame:
     return out.select("region", F.to_json(F.struct(*out.columns)).alias("summary"))
 
 
+def validations(engine: LandHistory, second: DataFrame | None = None) -> DataFrame:
+    """(region, validation): JSON with the holdout and, against a second product, agreement, IoU, baselines and relative agreement.
+
+    Events are judged on the last year that both products have; without such a year only the holdout is there.
+    """
+    shared = sorted({r[0] for r in second.select("year").distinct().collect()} & set(engine.years)) if second is not None else []
+    parts = []
+    if shared:
+        pairs, check = engine.compare(second), engine.checked(second, shared[-1])
+        base, done = validation.baselines(check), check.where("done")
+        parts += [
+            _rows(validation.agreement(pairs), "agreement", "year"),
+            _rows(validation.iou(pairs).withColumn("name", name_of(F.col("state"))), "iou", "year", "-iou", "state"),
+            _rows(pairs, "confusion", "year", "a", "b"),
+            _rows(base, "baselines", "state"),
+            validation.relative(done, base, ["region"]).select("region", F.struct("events", "evaluated", "agreement", "baseline", "ratio").alias("relative")),
+            _rows(validation.relative(validation.binned(done, validation.quartiles(done)), base, ["region", "bin"]), "relative_by_quartile", "bin"),
+        ]
+    held = engine.holdout()
+    if held is not None:
+        parts.append(_rows(held, "holdout", "bin"))
+    out = engine.grid.select("region", F.array(*map(F.lit, engine.years)).alias("years"))
+    for part in parts:
+        out = out.join(part, "region", "left")
+    return out.select("region", F.to_json(F.struct(*out.columns)).alias("validation"))
+
+
+def validation_text(validation_json: str) -> str:
+    """Markdown of one region's validation."""
+    v = json.loads(validation_json)
+    pct = lambda x: f"{100 * x:.1f} %"
+    lines = [f"# Validation of {v['region']}", "", "## Agreement with the second product", ""]
+    lines += [f"- {a['year']}: {pct(a['agreement'])} of {a['pixels']} pixels" for a in v.get("agreement", [])] or ["No second product."]
+    lines += [f"- {a['year']}, {a['name']}: IoU {a['iou']:.2f}" for a in v.get("iou", [])]
+    if "relative" in v:
+        lines += ["", "## Events against unchanged land", "", f"{v['relative']['evaluated']} events agree {v['relative']['ratio']:.2f} times as often as unchanged pixels of their new states."]
+        lines += [f"- quarter {b['bin']} by score: {b['ratio']:.2f}" for b in v.get("relative_by_quartile", [])]
+    lines += ["", "## Holdout", ""] + ([f"- {'all' if b['bin'] == 0 else 'quarter ' + str(b['bin']) + ' by score'}: {pct(b['verified'])} of {b['events']} events last" for b in v.get("holdout", [])] or ["Too few years or events."])
+    return "\n".join([*lines, ""])
+
+
 def story(summary_json: str) -> str:
     """Markdown of one region's summary."""
     s = json.loads(summary_json)
@@ -70,4 +111,4 @@ def benchmark_table(rows: list[dict]) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(cell(r.get(c)) for c in head) + " |" for r in rows)]) + "\n"
 
 
-__all__ = ["STATES", "benchmark_table", "story", "summaries"]
+__all__ = ["STATES", "benchmark_table", "story", "summaries", "validation_text", "validations"]
