@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrachron.functions.dims import Params
+from terrachron.functions.dims import Params, load_region
 from terrachron.functions.geo import fingerprint
 from terrachron.plans.engine import LandHistory, layers
-from terrachron.plans.report import benchmark_table, story, summaries, validation_text, validations
+from terrachron.plans.report import benchmark_table, evidences, story, summaries, validation_text, validations
 from terrachron.sinks.bundles import Bundles
 from terrachron.sinks.images import overlay_tiles, overlays, raster_tiles
 
@@ -25,8 +27,11 @@ def observed(spark: SparkSession, path: str, regions: list[str] | None = None, y
     return out.where(F.col("year").isin(*years)) if years else out
 
 
-def run(engine: LandHistory, bundles: Bundles, images: bool = False) -> None:
-    """Pixel facts as Parquet, and a bundle for each region; rows come to the driver one region or tile at a time."""
+def run(engine: LandHistory, bundles: Bundles, images: bool = False, scenes: DataFrame | None = None) -> None:
+    """Pixel facts as Parquet, and a bundle for each region; rows come to the driver one region or tile at a time.
+
+    Bundles are whole without evidence, so scenes that can't be read are only reported.
+    """
     kept = engine.persisted()
     kept.write(str(bundles.root / "tables"))
     for region, text in summaries(kept).toLocalIterator():
@@ -37,6 +42,12 @@ def run(engine: LandHistory, bundles: Bundles, images: bool = False) -> None:
     if images:
         bundles.write_tiles(raster_tiles(layers(kept.pixels)).toLocalIterator(), "rasters", "tif")
         bundles.write_tiles(overlay_tiles(kept.pixels, kept.years).toLocalIterator(), "overlays", "png")
+    if scenes is not None:
+        try:
+            for region, text in evidences(kept, scenes).toLocalIterator():
+                bundles.write(region, "evidence/evidence.json", text)
+        except PySparkException as e:
+            logging.getLogger(__name__).warning("no evidence: %s", e)
     kept.release()
 
 
@@ -59,16 +70,21 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("command", choices=["run", "benchmark", "validate", "serve"])
     ap.add_argument("observations", help="Parquet with region, r, c, year, src")
     ap.add_argument("output", help="folder of the bundles")
-    ap.add_argument("--region", action="append", help="only these regions")
+    ap.add_argument("--region", action="append", help="only these regions, by name or by YAML file, whose years are used too")
     ap.add_argument("--years", type=int, nargs="+", help="only these years")
     ap.add_argument("--second", help="Parquet of a second product, to validate against")
+    ap.add_argument("--scenes", help="Parquet of scenes (scene_id, day, cloud), for evidence")
     ap.add_argument("--images", action="store_true", help="write GeoTIFF and PNG tiles too")
     ap.add_argument("--block-px", type=int, default=25)
     ap.add_argument("--port", type=int, default=8000)
     ap.add_argument("--force", action="store_true")
     a = ap.parse_args(argv)
+    files = [load_region(r) for r in a.region or [] if r.endswith((".yaml", ".yml"))]
+    regions = [r for r in a.region or [] if not r.endswith((".yaml", ".yml"))] + [f.name for f in files]
+    years = a.years or sorted({y for f in files for y in f.years}) or None
     spark = SparkSession.builder.appName("terrachron").getOrCreate()
     bundles, params = Bundles(a.output), Params(block_px=a.block_px)
+    scenes = spark.read.parquet(a.scenes) if a.scenes else None
     if a.command == "serve":
         from terrachron.service import Service, serve
 
@@ -76,21 +92,21 @@ def main(argv: list[str] | None = None) -> int:
             engine = LandHistory(observed(spark, a.observations, [region], years), params)
             if not engine.years:
                 raise ValueError(f"no observations of region {region}")
-            run(engine, bundles, a.images)
+            run(engine, bundles, a.images, scenes)
 
         serve(Service(bundles, analyse), a.port)
         return 0
-    engine = LandHistory(observed(spark, a.observations, a.region, a.years), params)
-    mark = fingerprint({"command": a.command, "input": a.observations, "regions": a.region, "second": a.second, "images": a.images, "years": engine.years, "params": repr(engine.params)})
+    engine = LandHistory(observed(spark, a.observations, regions, years), params)
+    mark = fingerprint({"command": a.command, "input": a.observations, "regions": regions, "second": a.second, "scenes": a.scenes, "images": a.images, "years": engine.years, "params": repr(engine.params)})
     seen = Path(a.output) / f"{a.command}.fingerprint"
     if not a.force and seen.exists() and seen.read_text() == mark:
         return 0
     if a.command == "run":
-        run(engine, bundles, a.images)
+        run(engine, bundles, a.images, scenes)
     elif a.command == "benchmark":
         benchmark(engine, bundles)
     else:
-        validate(engine, bundles, observed(spark, a.second, a.region) if a.second else None)
+        validate(engine, bundles, observed(spark, a.second, regions) if a.second else None)
     seen.parent.mkdir(parents=True, exist_ok=True)
     seen.write_text(mark)
     return 0

@@ -11,6 +11,7 @@ from terrachron.functions.dims import STATES
 from terrachron.functions.pixel import name_of
 from terrachron.operators import blocks, states, summary, validation
 from terrachron.plans.engine import LandHistory
+from terrachron.sources.observations import evidence_pairs
 
 
 def _rows(df: DataFrame, name: str, *order: str, columns: list[str] | None = None) -> DataFrame:
@@ -69,6 +70,12 @@ def validations(engine: LandHistory, second: DataFrame | None = None) -> DataFra
     return out.select("region", F.to_json(F.struct(*out.columns)).alias("validation"))
 
 
+def evidences(engine: LandHistory, scenes: DataFrame, most: int = 3) -> DataFrame:
+    """(region, evidence): JSON with the scenes (scene_id, day, cloud) before and after each of the first ``most`` hotspots."""
+    found = evidence_pairs(engine.hotspots.where(F.col("rank") <= most), scenes).select("region", "rank", "dominant_year", "before", "after")
+    return _rows(found, "pairs", "rank").select("region", F.to_json(F.struct("region", "pairs")).alias("evidence"))
+
+
 def validation_text(validation_json: str) -> str:
     """Markdown of one region's validation."""
     v = json.loads(validation_json)
@@ -111,4 +118,4 @@ def benchmark_table(rows: list[dict]) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(cell(r.get(c)) for c in head) + " |" for r in rows)]) + "\n"
 
 
-__all__ = ["STATES", "benchmark_table", "story", "summaries", "validation_text", "validations"]
+__all__ = ["STATES", "benchmark_table", "evidences", "story", "summaries", "validation_text", "validations"]

@@ -73,7 +73,9 @@ def test_validation_report(spark):
 def test_run_validate_and_service(spark, tmp_path):
     obs, out = str(tmp_path / "obs"), tmp_path / "out"
     grid(spark, 6).union(grid(spark, 6, 1)).write.parquet(obs)
-    assert main(["run", obs, str(out), "--region", "1", "--images"]) == 0 and main(["validate", obs, str(out)]) == 0
+    spark.sql("SELECT 1L AS scene_id, DATE'2019-03-01' AS day, 5.0D AS cloud UNION ALL SELECT 2L, DATE'2021-03-01', 9.0D").write.parquet(str(tmp_path / "scenes"))
+    (tmp_path / "one.yaml").write_text('name: "1"\nbbox: [10, 10, 10.1, 10.1]\nyears: [2017, 2018, 2019, 2020, 2021, 2022, 2023]\n')
+    assert main(["run", obs, str(out), "--region", str(tmp_path / "one.yaml"), "--images", "--scenes", str(tmp_path / "scenes")]) == 0 and main(["validate", obs, str(out)]) == 0
     assert not (out / "0" / "summary.json").exists() and len(list((out / "1" / "rasters").glob("*.tif"))) == 7
     bundles = Bundles(out)
     (out / "broken").mkdir()
@@ -97,6 +99,7 @@ def test_run_validate_and_service(spark, tmp_path):
         assert json.loads(ask("/api/health")[1]) == {"status": "ok"}
         assert json.loads(ask("/api/region/1/summary")[1])["change"]["event_fraction"] == 0.5
         assert json.loads(ask("/api/region/1/overlays")[1])["layers"]["confidence"]["high"]
+        assert json.loads(ask("/api/region/1/evidence")[1])["pairs"][0] == {"rank": 1, "dominant_year": 2020, "before": 1, "after": 2}
         assert ask("/api/region/1/overlays/change_0_0.png")[1][:4] == b"\x89PNG"
         assert json.loads(ask("/api/analyze", {"name": "1"})[1])["status"] == "done"
         job = json.loads(ask("/api/analyze", {"name": "0"})[1])["job"]
