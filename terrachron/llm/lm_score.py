@@ -1,14 +1,14 @@
 """Language-model scores from a weighted backoff automaton of word n-grams.
 
-The automaton has a state for the end mark and for each frequent word, and a root. A state's arcs are the bigrams seen
+The automaton has a state for the end mark and for each training word, and a root. A state's arcs are the bigrams seen
 after it; on any other word its failure arc leads to the root, whose arcs are the words seen, and one for all others.
 A text is read once from left to right: the state is the word before, every arc adds its log10 weight.
 
-Frequent words (over about 0.3% of all tokens, at most 1000, found exactly) are counted and scored where the texts
-are; that keeps hot words out of every shuffle. The arcs of all other words are sharded by their word: a shard
-tallies its words, then walks the arcs that the texts take into its words, and returns sums by document. A word that
-is just below frequent fills its shard in proportion to the input, so a shard of more than SHARD_BYTES is split by its
-runs of texts: the parts are tallied, the tallies merged (at most 1001 arcs a word), and each part scored with them.
+Each run of texts sends its distinct bigrams once, with their training counts, to shards by the context's hash. A shard
+knows all of its contexts: it answers each run with the bigrams' totals and with the contexts' counts and followers,
+which are the words' own counts too, as every training word is a context once each time it is seen. The arcs of hot
+contexts (found by ``frequent_words``) are dealt by the following word instead, and their followers are summed over the
+shards; which contexts these are moves work only, never a score. Within a context a word is known by 40 bits of its hash.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrachron.llm.shared import settle, small
+from terrachron.llm.shared import settle
 from terrachron.llm.textcore import as_text, chunks, words
 
 END = np.uint64(1)
 FLUSH_TOKENS = 1_500_000
-LOCAL_SHARE, GLOBAL_SHARE = 0.002, 0.001
-BUCKET_BYTES = 32 << 20
-SHARD_BYTES = 12 << 20
+LOCAL_SHARE, GLOBAL_SHARE = 0.0002, 0.0001
+#: Bytes of text for each shard.
+SHARD_BYTES = 32 << 20
+WORD_BITS = 40
 _codec = pa.Codec("zstd", compression_level=1)
 
 
@@ -42,6 +43,30 @@ def unpack(blob: bytes) -> tuple:
     return pickle.loads(_codec.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
 
 
+def planes(n_bytes: int, a: np.ndarray) -> bytes:
+    """The low bytes of whole numbers, the first byte of all before the second of all, so that zeros compress."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes].T).tobytes()
+
+
+def press(head: tuple[int, ...], *columns: tuple[int, np.ndarray]) -> bytes:
+    """Numbers ``head``, then columns by ``planes``: a few bytes besides the data, as there is a blob for each run and shard."""
+    raw = b"".join([np.array(head, dtype="<i8").tobytes(), *(planes(k, a) for k, a in columns)])
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
+
+
+def unpress(blob: bytes, n_head: int, widths: tuple[int, ...], counts) -> tuple[list[int], list[np.ndarray]]:
+    """What ``press`` took; ``counts`` gives the columns' lengths from the head."""
+    raw = np.frombuffer(_codec.decompress(blob[8:], int.from_bytes(blob[:8], "little")), dtype=np.uint8)
+    head = [int(x) for x in raw[: 8 * n_head].view("<i8")]
+    out, at = [], 8 * n_head
+    for k, n in zip(widths, counts(head)):
+        full = np.zeros((n, 8), dtype=np.uint8)
+        full[:, :k] = raw[at : at + k * n].reshape(k, n).T
+        out.append(full.view("<u8").ravel())
+        at += k * n
+    return head, out
+
+
 def _flushes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[tuple[pa.RecordBatch, int, int]], np.ndarray, np.ndarray]]:
     """Runs of whole texts: (their rows, token hashes with an END after each text, text numbers)."""
     rows, hs, ds, held, n_docs = [], [], [], 0, 0
@@ -65,9 +90,9 @@ def _flushes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[l
 
 
 def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted hashes of END and of every word with more than LOCAL_SHARE + GLOBAL_SHARE of all tokens.
+    """Sorted hashes of END and of every word with more than LOCAL_SHARE + GLOBAL_SHARE of all tokens; some with less.
 
-    A word is reported by each run of texts in which it has LOCAL_SHARE; those below it in a run lose less than
+    Which of those with less are found depends on the runs, so no result may depend on them. A word is reported by each run of texts in which it has LOCAL_SHARE; those below it in a run lose less than
     LOCAL_SHARE in all, so words whose reports sum to GLOBAL_SHARE include all of them, and are at most 1/GLOBAL_SHARE.
     """
 
@@ -83,92 +108,87 @@ def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
     return np.unique(np.append(got.astype(np.int64).view(np.uint64), END))
 
 
+def _dealt(first: np.ndarray, hot_at: np.ndarray, hot_of: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The shard of each arc: that of the context's range of hashes, or for a hot context one that also moves with the word's."""
+    n = len(first) - 1
+    own = np.repeat(np.arange(n), np.diff(first))
+    hot = np.full(len(own), -1)
+    hot[hot_at] = hot_of
+    return np.where(hot[context] < 0, own[context], (own[word] + hot[context]) % n)
+
+
+def _arcs_of(at: np.ndarray, end: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and words of the distinct arcs of a run of tokens, and the arc of each token."""
+    before = np.empty(len(at), dtype=np.int64)
+    before[0], before[1:] = end, at[:-1]
+    arc, back = np.unique(before * n_words + at, return_inverse=True)
+    return arc // n_words, arc % n_words, back
+
+
 def _gathered(docs: DataFrame, doc_id: str, text: str, held: str, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(kind, key, n, blob): 'd' a run of documents with their frequent arcs, 'h' counts of frequent arcs, 'e' arcs into a bucket's words, with their bytes."""
-    width = len(hot) + 1
+    """(kind, key, n, blob): 'd' a run of documents with their tokens (its key is negative), 'e' a run's arcs for a shard."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        pairs = np.zeros(len(hot) * width, dtype=np.int64)
         for rows, h, doc in _flushes(batches, text):
             flush = part << 32 | seq
             seq += 1
-            n_docs = int(doc[-1]) + 1
             ids = pa.concat_arrays([b.column(doc_id)[i:j] for b, i, j in rows])
             out = np.concatenate([b.column(held)[i:j].to_numpy(zero_copy_only=False) for b, i, j in rows])
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            at = np.where(hot[at] == h, at, -1)
-            state = np.empty(len(h), dtype=np.int64)  # 0: root; k + 1: the k-th frequent word came before
-            state[0], state[1:] = np.searchsorted(hot, END) + 1, at[:-1] + 1
-            is_hot = at >= 0
-            code, n = np.unique(doc[is_hot] * (len(hot) * width) + at[is_hot] * width + state[is_hot], return_counts=True)
-            of, code = code // (len(hot) * width), code % (len(hot) * width)
-            train = ~out
-            np.add.at(pairs, code[train[of]], n[train[of]])
-            blobs = [("d", flush, None, pack(ids, out, np.bincount(doc, minlength=n_docs), np.bincount(of, minlength=n_docs), code.astype(np.uint32), n.astype(np.uint32)))]
-            uniq, at = np.unique(h[~is_hot], return_inverse=True)
-            key, n = np.unique((at * n_docs + doc[~is_hot]) * width + state[~is_hot], return_counts=True)
-            state, key = key % width, key // width
-            of, at = key % n_docs, key // n_docs
+            uniq, at = np.unique(h, return_inverse=True)
+            end = int(np.searchsorted(uniq, END))
+            context, word, back = _arcs_of(at, end, len(uniq))
+            n = np.bincount(back, weights=~out[doc], minlength=len(context)).astype(np.int64)
             first = np.concatenate([[0], np.searchsorted(uniq, edges), [len(uniq)]])
-            entry = np.searchsorted(at, first)
+            hot_at = np.minimum(np.searchsorted(uniq, hot), len(uniq) - 1)
+            hot_of = np.flatnonzero(uniq[hot_at] == hot)
+            hot_at = hot_at[hot_of]
+            shard = _dealt(first, hot_at, hot_of, context, word)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(buckets + 1))
+            blobs = [("d", -1 - flush, pack(ids, out, np.bincount(doc, minlength=len(out)), len(at), end, first, hot_at, hot_of, planes(4, at)))]
             for b in range(buckets):
-                if first[b] < first[b + 1]:
-                    w, e = slice(first[b], first[b + 1]), slice(entry[b], entry[b + 1])
-                    per = np.bincount(at[e] - first[b], minlength=first[b + 1] - first[b])
-                    blob = pack(flush, n_docs, np.packbits(train), uniq[w], per.astype(np.uint32), of[e].astype(np.uint32 if n_docs > 65535 else np.uint16), state[e].astype(np.uint16), n[e].astype(np.uint32))
-                    blobs.append(("e", b, len(blob), blob))
-                if len(blobs) >= 64 or b == buckets - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "key", "n", "blob"]) if blobs else pa.RecordBatch.from_pylist([], pa.schema([("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())]))
+                e = order[cut[b] : cut[b + 1]]
+                if len(e):
+                    own, per = np.unique(context[e], return_counts=True)
+                    blobs.append(("e", b, press((flush, len(own), len(e)), (8, np.diff(uniq[own], prepend=np.uint64(0))), (4, per), (WORD_BITS // 8, uniq[word[e]]), (4, n[e]))))
+                if len(blobs) >= 64 or b == buckets - 1 and blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.string(), pa.int64(), pa.binary()))], ["kind", "key", "blob"])
                     blobs = []
-        k = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(["h"] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(pairs[k], pa.int64()), pa.nulls(len(k), pa.binary())], ["kind", "key", "n", "blob"])
-
-    return docs.select(doc_id, text, held).mapInArrow(run, "kind string, key long, n long, blob binary")
-
-
-def _tally(blobs: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Training counts of a shard: words and their counts; arcs (word * width + state) and theirs; for each blob its word and document of each entry."""
-    uniq, back = np.unique(np.concatenate([b[3] for b in blobs]), return_inverse=True)
-    words_of, split = [], 0
-    count = np.zeros(len(uniq), dtype=np.int64)
-    keys, ns = [], []
-    for flush, n_docs, train, own, per, of, state, n in blobs:
-        w = np.repeat(back[split : split + len(own)], per)
-        split += len(own)
-        used = np.unpackbits(train, count=n_docs).astype(bool)[of]
-        np.add.at(count, w[used], n[used])
-        used &= state > 0
-        keys.append(w[used] * width + state[used])
-        ns.append(n[used].astype(np.int64))
-        words_of.append(w)
-    arcs, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return uniq, count, arcs, np.bincount(back, weights=np.concatenate(ns), minlength=len(arcs)).astype(np.int64), words_of
-
-
-def _merge(tallies: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One tally (words, counts, arcs, counts) of the parts' tallies."""
-    uniq, back = np.unique(np.concatenate([t[0] for t in tallies]), return_inverse=True)
-    count = np.zeros(len(uniq), dtype=np.int64)
-    np.add.at(count, back, np.concatenate([t[1] for t in tallies]))
-    first = np.cumsum([0, *(len(t[0]) for t in tallies)])
-    arcs, at = np.unique(np.concatenate([back[i + t[2] // width] * width + t[2] % width for i, t in zip(first, tallies)]), return_inverse=True)
-    n = np.zeros(len(arcs), dtype=np.int64)
-    np.add.at(n, at, np.concatenate([t[3] for t in tallies]))
-    return uniq, count, arcs, n
-
-
-def _counts_of_counts(kind: str, n: np.ndarray) -> list[tuple[str, int, int]]:
-    return [(kind, k, int((n == k).sum())) for k in (1, 2, 3, 4)]
-
-
-def _context_rows(state: np.ndarray, n: np.ndarray, width: int) -> list[tuple[str, int, int]]:
-    out = []
-    for name, values in (("sum", np.bincount(state, weights=n, minlength=width)), *((f"n{k}", np.bincount(state[(n == k) if k < 3 else (n >= 3)], minlength=width)) for k in (1, 2, 3))):
-        at = np.flatnonzero(values)
-        out += [(name, int(i), int(values[i])) for i in at]
-    return out
+
+    return docs.select(doc_id, text, held).mapInArrow(run, "kind string, key long, blob binary")
+
+
+def _sums(named: list[tuple[str, int, int]]) -> dict[str, pa.Array]:
+    name, i, n = zip(*named) if named else ((), (), ())
+    return {"kind": pa.array(name, pa.string()), "key": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()), "blob": pa.nulls(len(name), pa.binary())}
+
+
+def _tallied(b: int, blobs: list[bytes], hot: np.ndarray) -> pa.Table:
+    """Answers ('s') to a shard's runs: the totals of their contexts and arcs; and sums over the shard, by name."""
+    runs = [unpress(x, 3, (8, 4, WORD_BITS // 8, 4), lambda head: (head[1], head[1], head[2], head[2])) for x in blobs]
+    with np.errstate(over="ignore"):
+        uniq, back = np.unique(np.concatenate([np.cumsum(c[0], dtype=np.uint64) for _, c in runs]), return_inverse=True)
+    key = np.repeat(back, np.concatenate([c[1] for _, c in runs]).astype(np.int64)).astype(np.uint64) << np.uint64(WORD_BITS) | np.concatenate([c[2] for _, c in runs])
+    arc, at = np.unique(key, return_inverse=True)
+    del key
+    n = np.bincount(at, weights=np.concatenate([c[3] for _, c in runs]), minlength=len(arc)).astype(np.int64)
+    context = (arc >> np.uint64(WORD_BITS)).astype(np.int64)
+    totals = [np.bincount(context, weights=n, minlength=len(uniq)).astype(np.int64), *(np.bincount(context[(n == k) if k < 3 else (n >= 3)], minlength=len(uniq)) for k in (1, 2, 3))]
+    is_hot = np.isin(uniq, hot)
+    count = totals[0][~is_hot]
+    named = [("N", 0, int(count.sum())), ("V", 0, int((count > 0).sum()))] + [(kind, k, int((of == k).sum())) for kind, of in (("uni", count), ("bi", n)) for k in (1, 2, 3, 4)]
+    hot_of = np.searchsorted(hot, uniq[is_hot])
+    named += [(f"hot{k}", int(i), int(x)) for k, t in enumerate(totals) for i, x in zip(hot_of, t[is_hot]) if x]
+    flushes, answers, i, j = [], [], 0, 0
+    for (flush, n_contexts, n_arcs), _ in runs:
+        own = back[i : i + n_contexts]
+        flushes.append(-1 - flush)
+        answers.append(press((b, n_contexts, n_arcs), *((5, t[own]) for t in totals), (5, n[at[j : j + n_arcs]])))
+        i, j = i + n_contexts, j + n_arcs
+    answered = pa.table({"kind": pa.array(["s"] * len(flushes), pa.string()), "key": pa.array(flushes, pa.int64()), "n": pa.nulls(len(flushes), pa.int64()), "blob": pa.array(answers, pa.binary())})
+    return pa.concat_tables([answered, pa.table(_sums(named))])
 
 
 def discounts(t: list[float]) -> np.ndarray:
@@ -178,7 +198,7 @@ def discounts(t: list[float]) -> np.ndarray:
 
 
 class Weights:
-    """What every state needs, at most ``(1 + 1000) * 1000`` numbers: from sums over all shards."""
+    """What all states share, from sums over all shards; and a dense table of arcs between ``hot`` words, where there are any."""
 
     def __init__(self, hot: np.ndarray, pairs: np.ndarray, stats: dict[tuple[str, int], int]) -> None:
         width = len(hot) + 1
@@ -194,17 +214,24 @@ class Weights:
         get = lambda name: np.array([stats.get((name, i), 0) for i in range(width)], dtype=np.float64)
         self.after = get("sum") + table.sum(0)
         by = [get(f"n{k}") + (((table == k) if k < 3 else (table >= 3)).sum(0)) for k in (1, 2, 3)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.fail = np.where(self.after > 0, sum(self.d2[k + 1] * by[k] for k in range(3)) / self.after, 1.0)
+        self.fail = self.failure(self.after, by)
         self.fail[0] = 1.0  # the root
         self.after[0] = 0
         self.hot_logp = self.log_arc(np.repeat(self.hot_count, width), np.tile(np.arange(width), len(hot)), pairs)
 
     def log_arc(self, count: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log10 of the weight from ``state`` on a word of ``count`` that followed it ``pair`` times."""
+        return self.weigh(count, self.after[state], self.fail[state], pair)
+
+    def weigh(self, count: np.ndarray, after: np.ndarray, fail: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """The same for states of ``after`` words in all that fail with weight ``fail``."""
         low = np.where(count > 0, (count - self.d1[np.minimum(count, 3)]) / max(1, self.n_train), self.unseen)
-        own = np.where((pair > 0) & (self.after[state] > 0), (pair - self.d2[np.minimum(pair, 3)]) / np.maximum(1, self.after[state]), 0.0)
-        return np.log10(np.maximum(own + self.fail[state] * low, 1e-300))
+        own = np.where((pair > 0) & (after > 0), (pair - self.d2[np.minimum(pair, 3)]) / np.maximum(1, after), 0.0)
+        return np.log10(np.maximum(own + fail * low, 1e-300))
+
+    def failure(self, after: np.ndarray, by: list[np.ndarray]) -> np.ndarray:
+        """The weights of failure of states with ``by`` followers seen once, twice and more often."""
+        return np.where(after > 0, sum(self.d2[k + 1] * by[k] for k in range(3)) / np.maximum(1, after), 1.0)
 
 
 def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -212,92 +239,54 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     All scores are log10 and count the end mark. Words that training lacks are one word, as in the base. One row per
     input row, repeated ids included; null or empty texts are just the end mark; a null ``held_out`` counts as false;
-    an empty table gives an empty result. Nothing is pruned: counts cover every training text.
+    an empty table gives an empty result. Nothing is pruned: counts cover every training text, and every word of it is a state.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     hot = frequent_words(docs, "text")
-    width = len(hot) + 1
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    table = settle(_gathered(docs, "doc_id", "text", "held_out", hot, max(4, -(-n_bytes // BUCKET_BYTES))))
-    arcs = table.where("kind = 'e'").select("key", "blob")
-    split = settle(table.where("kind = 'e'").groupBy("key").agg(F.ceil(F.sum("n") / SHARD_BYTES).alias("parts")).where("parts > 1"))
-    n_split = split.count()
-    one = arcs.join(small(split, n_split), "key", "left_anti")
-    several = arcs.join(small(split, n_split), "key").select("key", F.pmod(F.xxhash64("blob"), "parts").alias("part"), "blob")
-
-    def part_tally(shard: pa.Table) -> pa.Table:
-        return pa.table({"key": shard.column("key")[:1], "blob": pa.array([pack(*_tally([unpack(x.as_py()) for x in shard.column("blob")], width)[:4])], pa.binary())})
-
-    def merged_tally(parts: pa.Table) -> pa.Table:
-        return pa.table({"key": parts.column("key")[:1], "blob": pa.array([pack(*_merge([unpack(x.as_py()) for x in parts.column("blob")], width))], pa.binary())})
-
-    tallies = settle(several.groupBy("key", "part").applyInArrow(part_tally, "key long, blob binary").groupBy("key").applyInArrow(merged_tally, "key long, blob binary"))
-
-    def totals(shard: pa.Table) -> pa.Table:
-        return sums(*_tally([unpack(x.as_py()) for x in shard.column("blob")], width)[1:4])
-
-    def merged_totals(shard: pa.Table) -> pa.Table:
-        return sums(*unpack(shard.column("blob")[0].as_py())[1:])
-
-    def sums(count: np.ndarray, arc: np.ndarray, n: np.ndarray) -> pa.Table:
-        rows = [("N", 0, int(count.sum())), ("V", 0, int((count > 0).sum())), *_counts_of_counts("uni", count), *_counts_of_counts("bi", n), *_context_rows(arc % width, n, width)]
-        return pa.table({k: pa.array(c, t) for (k, t), c in zip((("name", pa.string()), ("i", pa.int64()), ("n", pa.int64())), zip(*rows))})
-
-    named = "name string, i long, n long"
-    stats = one.groupBy("key").applyInArrow(totals, named).unionAll(tallies.groupBy("key").applyInArrow(merged_totals, named)).groupBy("name", "i").agg(F.sum("n").alias("n"))
-    stats = {(r.name, r.i): r.n for r in stats.collect()}  # at most 4 * 1001 + 10 sums
-    pairs = np.zeros(len(hot) * width, dtype=np.int64)
-    for r in table.where("kind = 'h'").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        pairs[r.key] = r.n
-    weights = docs.sparkSession.sparkContext.broadcast(Weights(hot, pairs, stats))
-
-    def shard_scores(shard: pa.Table) -> pa.Table:
-        blobs = [unpack(x.as_py()) for x in shard.column("blob")]
-        _, count, arc, n, words_of = _tally(blobs, width)
-        return scored(blobs, words_of, count, arc, n)
-
-    def part_scores(part: pa.Table, tally: pa.Table) -> pa.Table:
-        blobs = [unpack(x.as_py()) for x in part.column("blob")]
-        uniq, count, arc, n = unpack(tally.column("blob")[0].as_py())
-        return scored(blobs, [np.repeat(np.searchsorted(uniq, own), per) for _, _, _, own, per, *_ in blobs], count, arc, n)
-
-    def scored(blobs: list[tuple], words_of: list[np.ndarray], count: np.ndarray, arc: np.ndarray, n: np.ndarray) -> pa.Table:
-        w, out = weights.value, []
-        for (flush, n_docs, _, _, _, of, state, times), word in zip(blobs, words_of):
-            key = word * width + state
-            at = np.minimum(np.searchsorted(arc, key), max(0, len(arc) - 1))
-            pair = np.where((arc[at] == key) & (state > 0), n[at], 0) if len(arc) else np.zeros(len(key), np.int64)
-            c = count[word]
-            known = np.bincount(of, weights=times * (c > 0), minlength=n_docs)
-            base = np.bincount(of, weights=times * np.log10(c + 1.0), minlength=n_docs)
-            score = np.bincount(of, weights=times * w.log_arc(c, state.astype(np.int64), pair), minlength=n_docs)
-            docs_at = np.flatnonzero(score)
-            out.append((flush, pack(docs_at.astype(np.uint32), known[docs_at].astype(np.uint32), base[docs_at], score[docs_at])))
-        return pa.table({"key": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array(["s"] * len(out), pa.string()), "blob": pa.array([x[1] for x in out], pa.binary())})
-
-    by_run = "key long, kind string, blob binary"
-    for_parts = tallies.join(small(split, n_split), "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "blob")
-    parts = one.groupBy("key").applyInArrow(shard_scores, by_run)
-    parts = parts.unionAll(several.groupBy("key", "part").cogroup(for_parts.groupBy("key", "part")).applyInArrow(part_scores, by_run))
+    gathered = _gathered(docs, "doc_id", "text", "held_out", hot, max(4, -(-n_bytes // SHARD_BYTES)))
+
+    def tallied(group: pa.Table) -> pa.Table:
+        kind, key = group.column("kind")[0].as_py(), group.column("key")[0].as_py()
+        if kind == "d":  # the runs themselves pass through, so that the texts are read and split once
+            return group.select(["kind", "key"]).append_column("n", pa.nulls(len(group), pa.int64())).append_column("blob", group.column("blob"))
+        return _tallied(key, group.column("blob").to_pylist(), hot)
+
+    table = settle(gathered.groupBy("key").applyInArrow(tallied, "kind string, key long, n long, blob binary"))
+    stats = {(r.kind, r.key): r.n for r in table.where("n IS NOT NULL").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}  # at most 4 * 10001 + 10 sums
+    hot_totals = [np.array([stats.pop((f"hot{k}", i), 0) for i in range(len(hot))], dtype=np.int64) for k in range(4)]
+    seen = hot_totals[0]
+    for name, n in (("N", int(seen.sum())), ("V", int((seen > 0).sum()))):
+        stats[name, 0] = stats.get((name, 0), 0) + n
+    for k in (1, 2, 3, 4):
+        stats["uni", k] = stats.get(("uni", k), 0) + int((seen == k).sum())
+    weights = docs.sparkSession.sparkContext.broadcast((Weights(hot[:0], np.zeros(0, dtype=np.int64), stats), hot_totals))
     schema = docs.select("doc_id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def whole(flush: pa.Table) -> pa.Table:
-        w = weights.value
+        w, hot_total = weights.value
         by = list(zip(flush.column("kind").to_pylist(), flush.column("blob").to_pylist()))
-        ids, out, n_tokens, per, code, n = unpack(next(b for k, b in by if k == "d"))
-        of = np.repeat(np.arange(len(out)), per)
-        c = w.hot_count[code // width]
-        known = np.bincount(of, weights=n * (c > 0), minlength=len(out))
-        base = np.bincount(of, weights=n * np.log10(c + 1.0), minlength=len(out))
-        score = np.bincount(of, weights=n * w.hot_logp[code], minlength=len(out))
-        for k, b in by:
-            if k == "s":
-                at, kn, ba, sc = unpack(b)
-                known[at] += kn
-                base[at] += ba
-                score[at] += sc
-        base -= n_tokens * np.log10(w.n_train + w.n_words + 1.0)
+        ids, out, n_tokens, n, end, first, hot_at, hot_of, at = unpack(next(b for k, b in by if k == "d"))
+        at = sum(p.astype(np.int64) << 8 * i for i, p in enumerate(np.frombuffer(at, dtype=np.uint8).reshape(4, n)))
+        context, word, back = _arcs_of(at, end, int(first[-1]))
+        shard = _dealt(first, hot_at, hot_of, context, word)
+        order = np.argsort(shard, kind="stable")
+        answers = sorted((unpress(b, 3, (5,) * 5, lambda head: (head[1],) * 4 + (head[2],)) for k, b in by if k == "s"), key=lambda x: x[0][0])
+        pair = np.empty(len(order), dtype=np.int64)
+        pair[order] = np.concatenate([c[4] for _, c in answers])
+        starts = np.append(True, (np.diff(context[order]) != 0) | (np.diff(shard[order]) != 0))
+        totals = []
+        for k in range(4):
+            t = np.zeros(int(first[-1]), dtype=np.int64)
+            t[context[order][starts]] = np.concatenate([c[k] for _, c in answers])
+            t[hot_at] = hot_total[k][hot_of]
+            totals.append(t)
+        count, fail = totals[0], w.failure(totals[0], totals[1:])
+        arc = w.weigh(count[word], count[context], fail[context], pair)
+        of = np.repeat(np.arange(len(out)), n_tokens)
+        known = np.bincount(of, weights=count[at] > 0, minlength=len(out))
+        base = np.bincount(of, weights=np.log10(count + 1.0)[at], minlength=len(out)) - n_tokens * np.log10(w.n_train + w.n_words + 1.0)
+        score = np.bincount(of, weights=arc[back], minlength=len(out))
         return pa.table({"doc_id": ids, "held_out": pa.array(out, pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(out), w.n_train, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
-    runs = table.where("kind = 'd'").select("key", "kind", "blob")
-    return runs.unionByName(parts).groupBy("key").applyInArrow(whole, schema)
+    return table.where("kind IN ('d', 's')").select("key", "kind", "blob").groupBy("key").applyInArrow(whole, schema)

@@ -53,6 +53,30 @@ def test_split_shards_score_alike(spark, monkeypatch):
         assert (r.base_score, r.score) == pytest.approx((whole[i].base_score, whole[i].score))
 
 
+def test_every_bigram_counts(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    uni, bi = collections.Counter(), collections.defaultdict(collections.Counter)
+    for i, t in docs:
+        if i % 5:
+            before = b"\n"
+            for w in [*tokens(t), b"\n"]:
+                uni[w] += 1
+                bi[before][w] += 1
+                before = w
+    n, pairs = sum(uni.values()), [c for f in bi.values() for c in f.values()]
+    d1, d2 = (lm_score.discounts([sum(c == k for c in cs) for k in (1, 2, 3, 4)]) for cs in (list(uni.values()), pairs))
+    unseen = sum(d1[min(c, 3)] for c in uni.values()) / n
+    fail = {w: sum(d2[min(c, 3)] for c in f.values()) / uni[w] for w, f in bi.items()}
+    want = {}
+    for i, t in docs:
+        before, want[i] = b"\n", 0.0
+        for w in [*tokens(t), b"\n"]:
+            low, c = (uni[w] - d1[min(uni[w], 3)]) / n if uni[w] else unseen, bi[before][w] if before in bi else 0
+            want[i] += math.log10(((c - d2[min(c, 3)]) / uni[before] if c else 0.0) + fail.get(before, 1.0) * low)
+            before = w
+    assert {r.doc_id: r.score for r in lm_score.score_texts(table).collect()} == pytest.approx(want)
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for i, t in docs:
