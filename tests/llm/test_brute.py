@@ -77,6 +77,13 @@ def test_every_bigram_counts(spark, docs):
     assert {r.doc_id: r.score for r in lm_score.score_texts(table).collect()} == pytest.approx(want)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    one = {r.doc_id: r.score for r in lm_score.score_texts(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(lm_score, "FLUSH_TOKENS", 2000)
+    assert {r.doc_id: r.score for r in lm_score.score_texts(docs.repartition(7)).collect()} == pytest.approx(one)
+
+
 def test_near_duplicates(spark, docs):
     sets = {}
     for i, t in docs:
