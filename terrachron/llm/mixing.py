@@ -39,12 +39,13 @@ def source_targets(sizes: DataFrame, *, source: str = "source", size: str = "siz
     return out.withColumn("water", water).select("source", "source_size", "docs", F.coalesce(F.least("full", F.col("water") * F.col("weight")), F.col("full")).alias("target"))
 
 
-def _unit(level: int, seed: int) -> Column:
-    """A number in [0, 1) from the document's hash."""
-    return F.pmod(F.xxhash64("tie", F.lit(seed), F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _unit(level: int, seed: int, use: str) -> Column:
+    """A number in [0, 1) from the document's hash; another one for each ``use``."""
+    return F.pmod(F.xxhash64("tie", F.lit(seed), F.lit(level), F.lit(use)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-#: One step of the fold: ``acc.open`` is the open document so far or null, ``x`` the next; m words of s are taken.
+#: One step of the fold: ``acc.open`` is the open document so far or null, ``x`` the next; m words of s are taken. The coin
+#: ``x.u`` is not what the items are sorted by: else early pairs would all take one branch.
 STEP = """
 aggregate(items, named_struct('done', cast(array() as array<{t}>), 'open', cast(null as {t})), (acc, x) ->
   case when acc.open is null then named_struct('done', acc.done, 'open', x)
@@ -81,17 +82,17 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     rows = rows.withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("long")).withColumn("m", (F.col("rate") - F.floor("rate")) * F.col("size")).withColumn("tie", F.xxhash64("doc_id", "size"))
     kept = ["doc_id", "source", "size", "source_size", "target", "copies"]
     done = rows.where("m <= 0").select(*kept, F.lit(0.0).alias("m"))
-    fields = "doc_id bigint, tie bigint, u double, m double, s double"
+    fields = "doc_id bigint, tie bigint, place double, u double, m double, s double"
     kind = f"struct<{fields.replace(' ', ':').replace(',:', ',')}>".replace("doc_id:bigint", f"doc_id:{rows.schema['doc_id'].dataType.simpleString()}")
-    moved = lambda of, m: f"named_struct('doc_id', {of}.doc_id, 'tie', {of}.tie, 'u', {of}.u, 'm', cast({m} as double), 's', {of}.s)"
+    moved = lambda of, m: f"named_struct('doc_id', {of}.doc_id, 'tie', {of}.tie, 'place', {of}.place, 'u', {of}.u, 'm', cast({m} as double), 's', {of}.s)"
     step = STEP.format(t=kind, c=moved("acc.open", "n.c"), x=moved("x", "n.x"))
     open_rows = rows.where("m > 0").withColumn("blocks", F.ceil(F.col("docs") / FAN))
     most_blocks, level = -(-n["docs"] // FAN), 0
     of_source = ["source", "source_size", "target", "copies", "blocks"]
     while True:
-        item = F.struct("doc_id", "tie", _unit(level, seed).alias("u"), "m", F.col("s") if level else F.col("size").cast("double").alias("s"))
+        item = F.struct("doc_id", "tie", _unit(level, seed, "place").alias("place"), _unit(level, seed, "coin").alias("u"), "m", F.col("s") if level else F.col("size").cast("double").alias("s"))
         block = F.pmod(F.xxhash64("tie", F.lit(seed), F.lit(level), F.lit("block")), F.greatest(F.col("blocks"), F.lit(1)))
-        items = open_rows.groupBy(*of_source, block.alias("block")).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["u"] < b["u"], -1).when(a["u"] > b["u"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)).alias("items"))
+        items = open_rows.groupBy(*of_source, block.alias("block")).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)).alias("items"))
         folded = settle(items.select(*of_source, F.expr(step).alias("f")))
         done = done.unionByName(folded.select(*of_source[:4], F.explode("f.done").alias("d")).select("d.doc_id", "source", F.col("d.s").cast("long").alias("size"), "source_size", "target", "copies", "d.m"))
         open_rows = folded.where("f.open IS NOT NULL").select("f.open.*", *of_source[:4], F.ceil(F.col("blocks") / FAN).alias("blocks"))

@@ -137,6 +137,14 @@ def test_mixing_is_exact(spark):
     assert any(runs[0][i].taken != runs[1][i].taken for i in runs[0])
 
 
+def test_mixing_keeps_each_rate(spark):
+    """Over many sources of the same make-up, each size class is taken at its source's rate."""
+    sizes = "case when id % 32 < 20 then 2 when id % 32 < 30 then 20 else 400 end"
+    df = spark.range(32 * 600).selectExpr("id doc_id", "concat('s', id div 32) source", f"repeat('w ', {sizes}) text")
+    per = mix(df, weights=(1.0,), share=0.3).groupBy("size").agg(F.avg(F.col("taken") / F.col("size")).alias("rate"))
+    assert {r["size"]: r.rate for r in per.collect()} == pytest.approx({2: 0.3, 20: 0.3, 400: 0.3}, abs=0.02)
+
+
 def test_near_duplicates(docs):
     got = near_duplicates(docs, size=3, percent=85).collect()
     assert len(got) == len(ROWS)
