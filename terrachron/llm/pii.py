@@ -23,6 +23,8 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z_])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z_])",
 }
+#: The country code stays, by the table of calling codes: all digits after it are permuted, however they are spaced.
+CALLING = "^[+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9][0-9][0-9])"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
 #: Characters of one network by base, so that sums of two halves fit a long.
@@ -132,7 +134,7 @@ class _Sql:
         return "coalesce(" + ", ".join(f"if({h} like '{shape[f]}', {moved(f)}, null)" for f in forms) + f", {h})"
 
     def phone(self, h: str) -> str:
-        lead = f"regexp_extract({h}, '^[+][0-9]+', 0)"
+        lead = f"regexp_extract({h}, '{CALLING}', 0)"
         rest = f"substr({h}, length({lead}) + 1)"
         return f"concat({lead}, {self.refill(rest, self.string('phone', f"regexp_replace({rest}, '[^0-9]', '')", 10), '0-9')})"
 

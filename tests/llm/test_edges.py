@@ -110,6 +110,15 @@ def test_pii(docs, spark):
     assert out[4] == f"{d}.{m}.{y}"
 
 
+def test_phones_without_separators(spark):
+    texts = ["+15551234567", "+1555 123 4567", "+1 (555) 123-4567", "+442079460958", "+442079 460958", "+35312345678"]
+    out = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+    for a, b, lead in zip(texts, out, ("+1", "+1", "+1", "+44", "+44", "+353")):
+        assert b.startswith(lead) and a[len(lead) :] != b[len(lead) :] and "".join(" " if c.isdigit() else c for c in a) == "".join(" " if c.isdigit() else c for c in b)
+    digits = ["".join(c for c in x if c.isdigit()) for x in out]
+    assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4] and digits[0][1:4] != "555"
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(2000).selectExpr("id", "concat('user', lpad(cast(id as string), 4, '0'), '@x.example') text")
     assert pseudonymise(df, n_chars=None).select("text").distinct().count() == 2000
