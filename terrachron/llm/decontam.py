@@ -21,12 +21,15 @@ from terrachron.llm.textcore import LOWER, as_text, chunks, hash_spans, mix, spa
 WIDTH = 8
 SHORTEST = 5
 LITERALS = 4
+#: Literal tokens of a window of an item that has no window with LITERALS.
+FEW = 3
 #: 13 words in a row.
 RUN = 6
 COVERED = 0.5
 FILTER_BITS = 1 << 23
 UNITS = "mm cm m km mg g kg t ml cl l ms s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year percent pct dollars dollar euros euro cents usd eur gbp miles mile feet foot ft inches inch in yards yard pounds lbs lb oz ounces ounce tons ton kb mb gb tb hz khz mhz ghz w kw kwh v a k c f j n pa bar mph kmh rpm".split()
 NUMBER, NAME, UNIT = np.uint64(11), np.uint64(12), np.uint64(13)
+EXACT = np.uint64(0x5851F42D4C957F2D)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -79,10 +82,12 @@ def _probes(h: np.ndarray) -> list[np.ndarray]:
 
 
 def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataFrame:
-    """(id, size, h, pos, items, slots, total) of the template windows of each text.
+    """(id, size, h, pos, items, slots, exact, total, every) of the windows of each text.
 
     With ``sizes``, windows of these; else of WIDTH, or of the whole text where it has fewer tokens but SHORTEST or
-    more. Windows with too few literal tokens are left out. ``passes``: a broadcast filter of hashes, or None.
+    more. A window with too few literal tokens is ``exact``: its hash holds the values, so only copies meet it. An item
+    that has only such windows takes those with FEW as templates; those of the texts are sought both ways. ``total``
+    counts template windows, ``every`` all of them. ``passes``: a broadcast filter of hashes, or None.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +100,24 @@ def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataF
                 first = np.append(0, np.cumsum(n))
                 for size in sizes or range(SHORTEST, WIDTH + 1):
                     h, at = windows(t, doc, size)
-                    ok = literal[at + size] - literal[at] >= min(LITERALS, size - 1)
+                    own, _ = windows(v, doc, size)
+                    n_literal = literal[at + size] - literal[at]
+                    plain = n_literal >= min(LITERALS, size - 1)
                     if sizes is None:
-                        ok &= (n[doc[at]] == size) | (size == WIDTH)
-                    h, at = h[ok], at[ok]
-                    total = np.bincount(doc[at], minlength=j - i)
+                        ok = (n[doc[at]] == size) | (size == WIDTH)
+                        h, own, at, n_literal, plain = h[ok], own[ok], at[ok], n_literal[ok], plain[ok]
+                        none = np.bincount(doc[at][plain], minlength=j - i) == 0
+                        plain |= none[doc[at]] & (n_literal >= FEW)
+                        as_template, as_copy = plain, ~plain
+                    else:
+                        as_template, as_copy = n_literal >= FEW, ~plain
+                    total = np.bincount(doc[at][plain], minlength=j - i)
+                    every = np.bincount(doc[at], minlength=j - i)
+                    exact = np.repeat([False, True], [as_template.sum(), as_copy.sum()])
+                    h, at = np.append(h[as_template], mix(own[as_copy] ^ EXACT)), np.append(at[as_template], at[as_copy])
                     if bits is not None and len(h):
                         ok = np.logical_and.reduce([bits[p] for p in _probes(h)]).astype(bool)
-                        h, at = h[ok], at[ok]
+                        h, at, exact = h[ok], at[ok], exact[ok]
                     if not len(h):
                         continue
                     for k in range(0, len(h), 20_000):
@@ -112,12 +127,12 @@ def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataF
                         rows = doc[a]
                         cut = pa.array(np.arange(0, len(a) * size + 1, size), pa.int32())
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(rows + i)), pa.array([size] * len(a), pa.int32()), pa.array(h[k : k + 20_000].view(np.int64)), pa.array(a - first[rows], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(v[index].ravel().view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(slot.ravel())), pa.array(total[rows], pa.int64())],
-                            ["id", "size", "h", "pos", "items", "slots", "total"],
+                            [b.column(0).take(pa.array(rows + i)), pa.array([size] * len(a), pa.int32()), pa.array(h[k : k + 20_000].view(np.int64)), pa.array(a - first[rows], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(v[index].ravel().view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(slot.ravel())), pa.array(exact[k : k + 20_000]), pa.array(total[rows], pa.int64()), pa.array(every[rows], pa.int64())],
+                            ["id", "size", "h", "pos", "items", "slots", "exact", "total", "every"],
                         )
 
     key = texts.schema.fields[0].dataType
-    schema = T.StructType([T.StructField("id", key), *T.StructType.fromDDL("size int, h bigint, pos bigint, items array<bigint>, slots array<boolean>, total bigint").fields])
+    schema = T.StructType([T.StructField("id", key), *T.StructType.fromDDL("size int, h bigint, pos bigint, items array<bigint>, slots array<boolean>, exact boolean, total bigint, every bigint").fields])
     return texts.mapInArrow(run, schema)
 
 
@@ -140,8 +155,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id: str
 
     A passage is windows of one item on one diagonal of positions; it counts if at most a tenth of the item's distinct
     slot values meet more than one value of the document. A document is contaminated if one passage has RUN windows
-    (13 words), or all of the item's if it has fewer, or if its passages cover COVERED of an item. Items under SHORTEST
-    tokens or without literal words are not searched; null and empty texts hold nothing; rows of one id, null
+    (13 words), or all of the item's if it has fewer, or if its passages cover COVERED of an item; of template windows
+    alone, or of all windows. Items under SHORTEST tokens are not searched, and those with under FEW literal words in
+    each window only for copies; null and empty texts hold nothing; rows of one id, null
     included, are one document.
     """
     items = settle(_windows(benchmark.select(F.col(item_id), F.col(item_text)), None, None).withColumnRenamed("id", "item_id"))
@@ -155,13 +171,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id: str
     met = settle(hits.join(lined, "h").withColumn("diagonal", F.col("pos") - F.col("item_pos")))
     # a null id is a document of its own
     passage = [F.struct("doc_id").alias("d"), F.struct("item_id").alias("i"), "diagonal"]
-    runs = met.groupBy(*passage, "total").agg(F.countDistinct("item_pos").alias("windows"))
+    runs = met.groupBy(*passage, "total", "every").agg(F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("plain"), F.countDistinct("item_pos").alias("windows"))
     slots = met.where(F.exists("slots", lambda s: s)).select(*passage, F.explode(F.filter(F.arrays_zip("slots", "items", "values"), lambda z: z["slots"])).alias("z"))
     slots = slots.groupBy("d", "i", "diagonal", "z.items").agg((F.min("z.values") != F.max("z.values")).cast("int").alias("odd")).groupBy("d", "i", "diagonal").agg((10 * F.sum("odd") > F.count("*")).alias("mixed"))
     good = runs.join(slots, ["d", "i", "diagonal"], "left").where("NOT coalesce(mixed, false)")
-    per = good.groupBy("d", "i", "total").agg(F.max("windows").alias("run"), F.least(F.sum("windows"), F.col("total")).alias("windows"))
-    per = per.where((F.col("run") >= F.least(F.lit(RUN), F.col("total"))) | (F.col("windows") >= COVERED * F.col("total")))
-    per = per.withColumn("coverage", F.col("windows") / F.col("total"))
+    per = good.groupBy("d", "i", "total", "every").agg(F.max("plain").alias("plain_run"), F.least(F.sum("plain"), F.col("total")).alias("plain"), F.max("windows").alias("run"), F.least(F.sum("windows"), F.col("every")).alias("windows"))
+    enough = lambda run, n, of: (F.col(of) > 0) & ((F.col(run) >= F.least(F.lit(RUN), F.col(of))) | (F.col(n) >= COVERED * F.col(of)))
+    per = per.where(enough("plain_run", "plain", "total") | enough("run", "windows", "every"))
+    per = per.withColumn("coverage", F.greatest(F.col("plain") / F.nullif(F.col("total"), F.lit(0)), F.col("windows") / F.col("every")))
     best = F.max_by(F.struct(F.col("i.item_id").alias("item_id"), "windows", "coverage"), F.struct("coverage", "windows", (-F.xxhash64("i.item_id").cast("decimal(38,0)")).alias("tie")))
     return per.groupBy("d").agg(best.alias("b"), F.count("*").alias("n_items")).select("d.doc_id", "b.item_id", "b.windows", "b.coverage", "n_items")
 

@@ -180,6 +180,14 @@ def test_decontamination(docs, bench):
     assert decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_items_with_few_literals(spark):
+    names = "Ask Anna Bert Carl Dora Emil Fred Gina Hans Ida Jon Kurt"
+    bench = spark.createDataFrame([(1, "What is 12 times 7?"), (2, names)], "item_id long, text string")
+    texts = ["He said. What is 12 times 7? Well", "He said. What is 15 times 9? Well", "He said. What is 15 plus 9? Well", f"Look. {names} came", f"Look. {names.replace('Anna', 'Otto').replace('Fred', 'Lena').replace('Jon', 'Max')} came"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated_documents(docs, bench).collect()} == {(0, 1), (1, 1), (3, 2)}
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/7?x", None), (2, "https://www.example.com/en/1", None), (3, None, None), (4, "no scheme", ""), (5, "http://q.example/x", "<link href='http://b.com/en/z' rel=canonical>"), (6, "http://q.example/x#f", None), (7, "http://r.example/y", "<meta http-equiv=refresh content='0; url=http://q.example/x'>"), (8, "http://b.com/en/z", None), (9, "http://s.example/", None), (9, "http://s.example/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"verdict": F.lit("own"), "node": F.lit("own"), "alias": F.lit("own")})
