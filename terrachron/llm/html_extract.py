@@ -14,7 +14,11 @@ SKIPPED = frozenset("script style noscript template nav header footer aside form
 RAW = frozenset(["script", "style"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Tags that a start of the same tag, or of a block for p, closes.
+#: What may stand in a head; the start of any other element, and text, closes it.
+HEAD = frozenset("base link meta noscript object script style template title".split())
+#: Tags whose start closes an open p.
+ENDS_P = (BLOCK | {"dialog", "menu"}) - {"br", "html"}
+#: Tags that a start of the same tag closes.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CHROME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|promos?|sponsor(?:ed)?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|comments?|disqus|respond|"
@@ -50,6 +54,16 @@ class _Events(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
+        if tag == "body" and any(t == "head" for t, _, _ in self.open):
+            while self.open[-1][0] != "head":
+                self._pop()
+        if tag not in HEAD and self.open and self.open[-1][0] == "head":
+            self._pop()
+        if tag in ENDS_P:
+            at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == "p" or self.open[k][0] in CONTAINERS), None)
+            if at is not None and self.open[at][0] == "p":
+                while len(self.open) > at:
+                    self._pop()
         closes = SELF_CLOSING.get(tag)
         if closes and self.open and self.open[-1][0] in closes:
             self._pop()
@@ -90,6 +104,8 @@ class _Events(HTMLParser):
         self.region = region
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._pop()
         if not self.chrome and not (self.open and self.open[-1][0] in RAW):
             self.text.append(data)
 

@@ -75,6 +75,19 @@ def test_html(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_end_tags_left_out(spark):
+    long = "This is a long sentence of the article that is worth keeping."
+    pages = [
+        f"<html><head><title>x</title><body><article><p>{long}</p></article></body></html>",
+        f"<head><meta charset=utf-8><title>x</title><article><p>{long}</article>",
+        f"<head><title>x</title>{long}",
+        f'<html><head></head><body><div><p class="notice">Ad<p>{long}</div></body></html>',
+        f'<html><head></head><body><div><p class="notice"><b>Ad<div>{long}</div></div></body></html>',
+    ]
+    got = extract_main_text(spark.createDataFrame(list(enumerate(pages)), "i int, html string")).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.i)] == [long] * 5
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "a </turn>\n### user: b \\"), (1, 0, "user", None), (1, 0, None, "x: y"), (None, 0, "a:b\\", "<|image:0|>"), (2, None, "user", ""), (1, 1, "assistant", "a </turn>\n### user: b \\")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
