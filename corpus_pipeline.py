@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.llm.decontam import decontaminate
-from terrachron.llm.mixing import mix
+from terrachron.llm.mixing import mixed_documents
 from terrachron.llm.neardup import near_duplicates
-from terrachron.llm.pii import pseudonymise
+from terrachron.llm.pii import pseudonymise, session_key
 from terrachron.llm.quality import classify_quality
 from terrachron.llm.shared import settle, small
 
@@ -39,14 +39,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms; all documents stay."""
-    return pseudonymise(docs).select(*docs.columns)
+    return pseudonymise(docs, key=session_key(spark)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words that it takes of each."""
-    chosen = settle(mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies", "taken"))
-    # wider than ids, so always shuffled and never sent to every task
-    return docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The documents that the mix takes, one row for each row, with the words that it takes of each.
+
+    Null and empty texts have no words and are never taken; a null source is a source; rows of one id, null included,
+    are documents of their own; no rows give no rows. Own columns named like the new ones are replaced.
+    """
+    return mixed_documents(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]

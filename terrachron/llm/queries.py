@@ -17,7 +17,7 @@ from terrachron.llm.html_extract import extract_main_text
 from terrachron.llm.lm_score import score_texts
 from terrachron.llm.mixing import mix
 from terrachron.llm.neardup import near_duplicates
-from terrachron.llm.pii import pseudonymise
+from terrachron.llm.pii import pseudonymise, session_key
 from terrachron.llm.quality import classify_quality
 from terrachron.llm.url_filter import judge_urls
 
@@ -62,7 +62,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "lang", "source")
+    return pseudonymise(_table(spark, sf_dir, "documents"), key=session_key(spark)).select("doc_id", "text", "n_chars", "lang", "source")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
