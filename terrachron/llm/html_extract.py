@@ -28,42 +28,57 @@ CHROME = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form toolbar".split())
 MAIN = frozenset(["article", "main"])
 CONTAINERS = SKIPPED | MAIN | {"html", "body", "div", "section", "table", "ul", "ol", "td"}
+#: Elements that may be a region of the page.
+REGIONS = MAIN | frozenset("html body div section center table td ul ol dl".split())
+#: What a character in an article or main element counts for; the ratio still decides between regions.
+MARKED = 8
+#: Share of the heaviest region's selected text under which another is left out; a single line needs more.
+WEAK, WEAK_LINE = 0.1, 0.5
+#: A region of several lines with this share of its text in links is a menu.
+LINKED = 0.8
+UNFINISHED = re.compile(r"<(?:[!?]|/?[A-Za-z])")
 
 
 class _Events(HTMLParser):
-    """Blocks of visible text: (text, tags inside and around, number of the region, whether it is in an article)."""
+    """Blocks of visible text, (text, its characters outside links, tags since the block before, region, whether marked), and the tree of regions."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, whether it starts chrome, region around it
-        self.chrome = 0
-        self.region, self.regions = 0, 0
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.walls: list[int] = []  # where containers are open
+        self.chrome, self.marked, self.links, self.tags = 0, 0, 0, 0
+        self.region, self.above = 0, [-1]
         self.text: list[str] = []
-        self.tags = 0
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.articles = 0
+        self.plain = 0
+        self.blocks: list[tuple[str, int, int, int, bool]] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((text, self.tags, self.region, self.articles > 0))
+            self.blocks.append((text, min(self.plain, len(text)), self.tags, self.region, self.marked > 0))
             self.tags = 0
         self.text.clear()
+        self.plain = 0
+
+    def last(self, tag: str) -> int:
+        return (self.at.get(tag) or (-1,))[-1]
+
+    def close_from(self, at: int) -> None:
+        while len(self.open) > at:
+            self._pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.cut()
-        if tag == "body" and any(t == "head" for t, _, _ in self.open):
-            while self.open[-1][0] != "head":
-                self._pop()
-        if tag not in HEAD and self.open and self.open[-1][0] == "head":
+        head = self.last("head")
+        if tag == "body" and head >= 0:
+            self.close_from(head + 1)
+        if tag not in HEAD and head >= 0 and head == len(self.open) - 1:
             self._pop()
-        if tag in ENDS_P:
-            at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == "p" or self.open[k][0] in CONTAINERS), None)
-            if at is not None and self.open[at][0] == "p":
-                while len(self.open) > at:
-                    self._pop()
+        if tag in ENDS_P and self.last("p") > (self.walls[-1] if self.walls else -1):
+            self.close_from(self.last("p"))
         closes = SELF_CLOSING.get(tag)
         if closes and self.open and self.open[-1][0] in closes:
             self._pop()
@@ -73,13 +88,16 @@ class _Events(HTMLParser):
         chrome = tag not in ("html", "body") and (
             tag in SKIPPED or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (tag not in MAIN or "comment" in (a.get("class", "") + a.get("id", "")).lower()) and bool(CHROME.search(f"{a.get('class', '')} {a.get('id', '')}"))
         )
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in CONTAINERS:
+            self.walls.append(len(self.open))
         self.open.append((tag, chrome, self.region))
         self.chrome += chrome
-        if tag in MAIN:
-            self.articles += 1
-        if tag in MAIN and self.articles == 1 or not self.articles and tag in ("section", "div", "td"):
-            self.regions += 1
-            self.region = self.regions
+        self.marked += tag in MAIN
+        self.links += tag == "a"
+        if tag in REGIONS:
+            self.above.append(self.region)
+            self.region = len(self.above) - 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -90,17 +108,19 @@ class _Events(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        if at is None or tag not in CONTAINERS and any(t in CONTAINERS for t, _, _ in self.open[at + 1 :]):
+        at = self.last(tag)
+        if at < 0 or tag not in CONTAINERS and self.walls and self.walls[-1] > at:
             return  # the end tag of a phrase doesn't close a container
-        while len(self.open) > at:
-            self._pop()
+        self.close_from(at)
 
     def _pop(self) -> None:
         tag, chrome, region = self.open.pop()
+        self.at[tag].pop()
+        if tag in CONTAINERS:
+            self.walls.pop()
         self.chrome -= chrome
-        if tag in MAIN:
-            self.articles -= 1
+        self.marked -= tag in MAIN
+        self.links -= tag == "a"
         self.region = region
 
     def handle_data(self, data: str) -> None:
@@ -108,33 +128,86 @@ class _Events(HTMLParser):
             self._pop()
         if not self.chrome and not (self.open and self.open[-1][0] in RAW):
             self.text.append(data)
+            if not self.links:
+                self.plain += len(data)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Marked sections, and declarations that aren't known, end at the next ``>``, as in browsers."""
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def read(self, html: str) -> None:
+        """All of a page; a comment or tag that never ends hides the rest, and what the parser can't read ends the page."""
+        try:
+            self.feed(html)
+            if not UNFINISHED.match(self.rawdata):
+                self.close()
+        except AssertionError:
+            pass
+        self.cut()
+
+
+def _smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian means of neighbouring lines."""
+    reach = int(3 * sigma) + 1
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    cut = slice(reach, reach + len(ratio))
+    return np.convolve(ratio, kernel)[cut] / np.convolve(np.ones(len(ratio)), kernel)[cut]
 
 
 def content_blocks(html: str, sigma: float = 1.5, share: float = 0.5) -> list[str]:
     """The blocks of the page's content regions, in page order.
 
-    Each block is a line of the page; its text-to-tag ratio is its code points over the tags since the line before.
-    The ratios are smoothed by a Gaussian of ``sigma`` lines and cut at their standard deviation, at most ``share`` of
-    their maximum. Regions (an article or main element, or else a section, div or cell) that hold a selected line are
-    kept whole; where the page marks an article or main element, only such regions compete.
+    Each block is a line of the page; its text-to-tag ratio is its code points outside links over the tags since the
+    line before. The ratios are smoothed by a Gaussian of ``sigma`` lines, and lines from their standard deviation on,
+    at most ``share`` of their maximum, are selected. From the whole page down, the region that holds the selected text
+    is entered as long as all beside it is weak (see WEAK); text in an article or main element counts MARKED times.
+    Where several regions hold selected text, each is kept whole, so that headings and short paragraphs stay; lists of
+    links in them are left out.
     """
     p = _Events()
-    p.feed(html)
-    p.close()
-    p.cut()
+    p.read(html)
     blocks = p.blocks
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
     if not blocks:
         return []
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in blocks])
-    reach = int(3 * sigma) + 1
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weight = np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
-    smooth = np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
-    limit = min(ratio.std(), share * smooth.max())
-    chosen = {b[2] for b, x in zip(blocks, smooth) if x >= limit}
-    return [b[0] for b in blocks if b[2] in chosen]
+    ratio = np.array([plain / max(1, tags) for _, plain, tags, _, _ in blocks])
+    smooth = _smoothed(ratio, sigma)
+    picked = smooth >= min(ratio.std(), share * smooth.max())
+    n = len(p.above)
+    mass, lines, chars, linked = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for (text, plain, _, region, marked), on in zip(blocks, picked):
+        mass[region] += on * plain * (MARKED if marked else 1)
+        lines[region] += 1
+        chars[region] += len(text)
+        linked[region] += len(text) - plain
+    below: list[list[int]] = [[] for _ in range(n)]
+    for r in range(n - 1, 0, -1):  # a region comes after the one around it
+        for total in (mass, lines, chars, linked):
+            total[p.above[r]] += total[r]
+        if lines[r]:
+            below[p.above[r]].append(r)
+    menu = (lines >= 3) & (linked >= LINKED * chars)
+    here, kept = 0, None
+    while kept is None:
+        inner = [r for r in below[here] if not menu[r]]
+        top = max(inner, key=lambda r: mass[r], default=0)
+        direct = mass[here] - sum(mass[r] for r in below[here])
+        strong = [r for r in inner if mass[r] > 0 and mass[r] >= (WEAK if lines[r] > 1 else WEAK_LINE) * mass[top]]
+        if not mass[top]:
+            kept = None if len(inner) == 1 and not direct and lines[inner[0]] == lines[here] else inner
+            here = inner[0] if kept is None else here
+        elif len(strong) == 1 and direct < WEAK * mass[top] and (lines[top] > 1 or lines[here] == 1 or mass[here] == mass[top]):
+            here = top
+            kept = [] if not below[top] else None
+        else:
+            kept = inner if lines[top] == 1 or direct >= WEAK * mass[top] else strong
+    inside = np.zeros(n, dtype=bool)
+    inside[[here, *kept]] = True
+    for r in range(1, n):
+        inside[r] |= p.above[r] != here and inside[p.above[r]]
+        inside[r] &= not (menu[r] and r != here)
+    return [text for text, _, _, region, _ in blocks if inside[region]]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrachron.llm import lm_score, queries
+from terrachron.llm.html_extract import content_blocks
 
 SF = "/root/testdata/sf0.001"
 
@@ -124,6 +125,18 @@ def test_pages(spark):
         assert got[i] == (want, len(want))
 
 
+def test_pages_without_marks():
+    """With neutral tags and no classes, text from outside the article stays in few pages, and no text of it is lost."""
+    pages = duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    more = 0
+    for _, h in pages:
+        want = content_blocks(h)
+        got = content_blocks(re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|main|nav|header|footer|aside)\b", r"<\1div", h)))
+        assert " ".join(want) in " ".join(got)
+        more += want != got
+    assert more <= 0.1 * len(pages)
+
+
 def test_benchmark_passages(spark, docs):
     norm = lambda t: re.findall(r"\w+", t.lower())
     grams = {tuple(w[k : k + 13]) for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall() for w in [norm(t)] for k in range(len(w) - 12)}
