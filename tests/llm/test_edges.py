@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from terrachron.llm.chat_format import format_chat, parse_turns
 from terrachron.llm.decontam import contaminated_documents, decontaminate
 from terrachron.llm.fingerprints import fingerprint_edits
-from terrachron.llm.html_extract import extract_main_text
+from terrachron.llm.components import components
+from terrachron.llm.html_extract import content_blocks, extract_main_text
 from terrachron.llm.lm_score import Weights, score_texts
 from terrachron.llm.mixing import mix, mixed_documents
 from terrachron.llm.neardup import near_duplicates
@@ -283,5 +284,74 @@ def test_urls(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_links_of_pages(spark):
+    """Relative, repeated, commented and based links; d.example/d/y.html leads to a blocked page."""
+    blocked = "<link rel=canonical href='http://b.com/en/z'>"
+    rows = [
+        (1, "http://d.example/d/y.html", blocked), (2, "http://d.example/d/x", "<link rel='canonical' href='y.html'>"), (3, "http://d.example/e/f/x", "<link rel=canonical href=../../d/./y.html>"),
+        (4, "http://d.example/q", "<link rel=canonical href=/other><link rel=canonical href='/d/y.html'>"), (5, "http://d.example/c", "<!-- <link rel=canonical href='/d/y.html'> --><script>var x='<link rel=canonical href=/d/y.html>'</script>"),
+        (6, "http://d.example/r", "<base href='http://d.example/d/'><meta http-equiv=refresh content='1; url=y.html'>"), (7, "http://d.example/m", "<link rel=canonical href='mailto:a@b.example'><link rel=canonical href='#top'>"), (8, None, blocked),
+        (9, "http://d.example/long", "<p>" + LONG + blocked),
+    ]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "block"}
+
+
+def test_rules_as_a_table(spark):
+    urls = [f"http://{h}/{p}" for h in ("a.com", "x.a.com", "xa.com", "net", "b.net", "") for p in ("en/7", "en/", "de/81", "")] + [None, "no"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", "com", "/en/"), ("allow", "a.com", "/en/7"), ("block", "a.com", "/en/7"), ("allow", "net", "/de/"), ("block", "b.net", "/de/8"), ("block", "b.net", "")]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    by = lambda df: sorted(map(tuple, df.select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert by(judge_urls(df, table)) == by(judge_urls(df, rules))
+    assert {r.verdict for r in judge_urls(df, table.limit(0)).collect()} == {"allow"}
+
+
+def test_components(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 1), (7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame(edges, "a long, b long").limit(0)).count() == 0
+
+
+def test_html_that_is_malformed(spark):
+    pages = {"<![foo[ y ]]>a": "a", "a<!--unclosed <p>b": "a", "<p>x<![if IE]>y<![endif]>z": "xyz", "<p>text &am": "text &am", "<p>t<a href='x": "t", "<?php echo 1 ?><p>z": "z", "a < b": "a < b", "<p>a</b></i></p></div>": "a", "<p>x</p": "x", "<script>never ends <p>x": ""}
+    got = {r.i: r.text for r in extract_main_text(spark.createDataFrame(list(enumerate(pages)), "i int, html string")).collect()}
+    assert [got[k] for k in range(len(pages))] == list(pages.values())
+
+
+def test_html_of_hostile_pages():
+    import time
+
+    began = time.time()
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000, "<p><i>" * 60_000 + "</b>" * 60_000, "<!" * 200_000, "&" * 300_000):
+        content_blocks(page + "x")
+    assert time.time() - began < 60
+
+
+def test_html_regions_without_marks():
+    """Regions are chosen by their text, not by their tags."""
+    long = ["A sentence of the article that goes on for quite a while, and on.", "Short.", "Another sentence of it that is long enough to be told apart."]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(6)) + "</ul>"
+    assert content_blocks(f"<body><div>{menu}</div><div><h1>Head</h1>{body}</div><div>c 2020 somebody</div></body>") == ["Head", *long]
+    assert content_blocks(f"<body><div><div>{body}</div><div>{body}</div></div><div>{menu}</div></body>") == long * 2
+    assert content_blocks(f"<body><article><h1>Head</h1>{body}{menu}</article><div>{long[0]}</div></body>") == ["Head", *long]
+
+
 def test_long_conversation_scores_are_finite(docs):
     assert all(math.isfinite(r.score) for r in score_texts(docs.withColumn("held_out", F.lit(None).cast("boolean"))).collect())
