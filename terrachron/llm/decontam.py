@@ -20,13 +20,16 @@ from terrachron.llm.textcore import LOWER, as_text, chunks, hash_spans, mix, spa
 
 WIDTH = 8
 SHORTEST = 5
+#: Items with fewer tokens, but so many, are searched inside texts by their values; shorter ones must be the whole text.
+INSIDE = 3
 LITERALS = 4
 #: Literal tokens of a window of an item that has no window with LITERALS.
 FEW = 3
 #: 13 words in a row.
 RUN = 6
 COVERED = 0.5
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each window of the benchmark, and at least and at most in all; beyond, it lets more through.
+BITS_PER_WINDOW, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 26
 UNITS = "mm cm m km mg g kg t ml cl l ms s sec min h hr hrs hours hour minutes minute seconds second days day weeks week months month years year percent pct dollars dollar euros euro cents usd eur gbp miles mile feet foot ft inches inch in yards yard pounds lbs lb oz ounces ounce tons ton kb mb gb tb hz khz mhz ghz w kw kwh v a k c f j n pa bar mph kmh rpm".split()
 NUMBER, NAME, UNIT = np.uint64(11), np.uint64(12), np.uint64(13)
 EXACT = np.uint64(0x5851F42D4C957F2D)
@@ -76,47 +79,52 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out[keep], value[keep], doc[keep]
 
 
-def _probes(h: np.ndarray) -> list[np.ndarray]:
+def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
-        return [mix(h + np.uint64(k)) % np.uint64(FILTER_BITS) for k in (1, 2, 3)]
+        return [mix(h + np.uint64(k)) & np.uint64(bits - 1) for k in (1, 2, 3)]
+
+
+def _passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter, in words of 64 bits, may hold each hash."""
+    return np.logical_and.reduce([(words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) for p in _probes(h, 64 * len(words))]).astype(bool)
 
 
 def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataFrame:
     """(id, size, h, pos, items, slots, exact, total, every) of the windows of each text.
 
-    With ``sizes``, windows of these; else of WIDTH, or of the whole text where it has fewer tokens but SHORTEST or
-    more. A window with too few literal tokens is ``exact``: its hash holds the values, so only copies meet it. An item
+    With ``sizes``, windows of these; else of WIDTH, or of the whole text where it has fewer tokens. Windows under
+    SHORTEST tokens are exact, and those under INSIDE tokens must be whole texts. A window with too few literal tokens is ``exact``: its hash holds the values, so only copies meet it. An item
     that has only such windows takes those with FEW as templates; those of the texts are sought both ways. ``total``
     counts template windows, ``every`` all of them. ``passes``: a broadcast filter of hashes, or None.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if passes is None else np.unpackbits(passes.value, bitorder="little")
         for b in batches:
             for i, j, data, off in chunks(as_text(b.column(1))):
                 t, v, doc = template(data, off)
                 literal = np.append(0, np.cumsum((t != NUMBER) & (t != NAME) & (t != UNIT)))
                 n = np.bincount(doc, minlength=j - i)
                 first = np.append(0, np.cumsum(n))
-                for size in sizes or range(SHORTEST, WIDTH + 1):
+                for size in sizes or range(1, WIDTH + 1):
                     h, at = windows(t, doc, size)
                     own, _ = windows(v, doc, size)
                     n_literal = literal[at + size] - literal[at]
-                    plain = n_literal >= min(LITERALS, size - 1)
-                    if sizes is None:
+                    plain = (n_literal >= min(LITERALS, size - 1)) & (size >= SHORTEST)
+                    if sizes is None or size < INSIDE:
                         ok = (n[doc[at]] == size) | (size == WIDTH)
                         h, own, at, n_literal, plain = h[ok], own[ok], at[ok], n_literal[ok], plain[ok]
+                    if sizes is None:
                         none = np.bincount(doc[at][plain], minlength=j - i) == 0
-                        plain |= none[doc[at]] & (n_literal >= FEW)
+                        plain |= none[doc[at]] & (n_literal >= FEW) & (size >= SHORTEST)
                         as_template, as_copy = plain, ~plain
                     else:
-                        as_template, as_copy = n_literal >= FEW, ~plain
+                        as_template, as_copy = (n_literal >= FEW) & (size >= SHORTEST), ~plain
                     total = np.bincount(doc[at][plain], minlength=j - i)
                     every = np.bincount(doc[at], minlength=j - i)
                     exact = np.repeat([False, True], [as_template.sum(), as_copy.sum()])
                     h, at = np.append(h[as_template], mix(own[as_copy] ^ EXACT)), np.append(at[as_template], at[as_copy])
-                    if bits is not None and len(h):
-                        ok = np.logical_and.reduce([bits[p] for p in _probes(h)]).astype(bool)
+                    if passes is not None and len(h):
+                        ok = _passes(passes.value, h)
                         h, at, exact = h[ok], at[ok], exact[ok]
                     if not len(h):
                         continue
@@ -136,17 +144,18 @@ def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataF
     return texts.mapInArrow(run, schema)
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over ``h``, whatever the number of hashes; its words are merged on the executors."""
+def _filter(hashes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over the ``n`` hashes ``h``, as words of 64 bits; these are merged on the executors, MOST_BITS / 64 at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_WINDOW * n - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.concatenate(_probes(b.column(0).to_numpy().view(np.uint64))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p >> 3), pa.array(1 << (p & 7))], ["at", "bit"])
+            p = np.concatenate(_probes(b.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["at", "bit"])
 
     words = hashes.select("h").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint8)
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -156,19 +165,21 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id: str
     A passage is windows of one item on one diagonal of positions; it counts if at most a tenth of the item's distinct
     slot values meet more than one value of the document. A document is contaminated if one passage has RUN windows
     (13 words), or all of the item's if it has fewer, or if its passages cover COVERED of an item; of template windows
-    alone, or of all windows. Items under SHORTEST tokens are not searched, and those with under FEW literal words in
-    each window only for copies; null and empty texts hold nothing; rows of one id, null
-    included, are one document.
+    alone, or of all windows. Items with under FEW literal words in each window, or under SHORTEST tokens, are searched
+    for copies only, and those under INSIDE tokens as whole texts; null and empty texts hold nothing; rows of one id,
+    null included, are one document. The filter is destroyed when the hits are written.
     """
     items = settle(_windows(benchmark.select(F.col(item_id), F.col(item_text)), None, None).withColumnRenamed("id", "item_id"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WIDTH
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), *T.StructType.fromDDL("windows bigint, coverage double, n_items bigint").fields]))
-    hits = _windows(docs.select(F.col(doc_id), F.col(text)), sizes, spark.sparkContext.broadcast(_filter(items))).select(F.col("id").alias("doc_id"), "h", "pos", F.col("items").alias("values"))
     n = items.count()
+    passes = spark.sparkContext.broadcast(_filter(items, n))
+    hits = _windows(docs.select(F.col(doc_id), F.col(text)), sizes, passes).select(F.col("id").alias("doc_id"), "h", "pos", F.col("items").alias("values"))
     lined = small(items.withColumnRenamed("pos", "item_pos"), n, 200_000)
     met = settle(hits.join(lined, "h").withColumn("diagonal", F.col("pos") - F.col("item_pos")))
+    passes.destroy()
     # a null id is a document of its own
     passage = [F.struct("doc_id").alias("d"), F.struct("item_id").alias("i"), "diagonal"]
     runs = met.groupBy(*passage, "total", "every").agg(F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("plain"), F.countDistinct("item_pos").alias("windows"))

@@ -271,6 +271,39 @@ def test_items_with_few_literals(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated_documents(docs, bench).collect()} == {(0, 1), (1, 1), (3, 2)}
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is 2 + 3?"), (2, "capital of France"), (3, "Yes"), (4, "no way"), (5, "!!")], "item_id long, text string")
+    texts = ["Well. What is 2 + 3? Five.", "the capital of France, then", "yes", "Yes, and more", "no way", "there is no way", "What is 2 + 4?", "capital of Spain", "!!", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated_documents(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (4, 4)}
+
+
+def test_parameters_changed(spark):
+    """Templates against a plain version: other numbers, names and units are found, inconsistent slots and other words aren't."""
+    import re
+
+    item = "A train leaves the old station at 9 hours and runs for 3 hours until Anna leaves the train again at the next station after 3 hours"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item, re.sub("3", "5", item).replace("Anna", "Bert"), re.sub("9", "7", item), item.replace("hours", "days").replace("3", "4"), re.sub("3 hours", "4 days", item), item.replace("for 3", "for 6").replace("at 9", "at 3"), item.replace("train", "boat").replace("station", "harbour")]
+    docs = spark.createDataFrame([(k, f"He wrote this. {t}. That was it.") for k, t in enumerate(texts)], "doc_id long, text string")
+
+    def plain(text):
+        """Slots and template of the item's words as they would be in ``text``, or None if a literal word differs."""
+        a, b = re.findall(r"\w+", item), re.findall(r"\w+", text)
+        slot = [w.isdigit() or w == "Anna" or w == "hours" for w in a]
+        return all(s or x.lower() == y.lower() for x, y, s in zip(a, b, slot)), {(x, y) for x, y, s in zip(a, b, slot) if s}
+
+    want = set()
+    for k, t in enumerate(texts):
+        same, slots = plain(t)
+        values = {}
+        for x, y in slots:
+            values.setdefault(x, set()).add(y)
+        if same and 10 * sum(len(v) > 1 for v in values.values()) <= len(values):
+            want.add(k)
+    assert want >= {0, 1, 2, 3} and {r.doc_id for r in contaminated_documents(docs, bench).collect()} == want
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/7?x", None), (2, "https://www.example.com/en/1", None), (3, None, None), (4, "no scheme", ""), (5, "http://q.example/x", "<link href='http://b.com/en/z' rel=canonical>"), (6, "http://q.example/x#f", None), (7, "http://r.example/y", "<meta http-equiv=refresh content='0; url=http://q.example/x'>"), (8, "http://b.com/en/z", None), (9, "http://s.example/", None), (9, "http://s.example/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"verdict": F.lit("own"), "node": F.lit("own"), "alias": F.lit("own")})
