@@ -9,14 +9,16 @@ offset. A fingerprint keeps, in 64 bins, the least name of the first, the second
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrachron.llm.shared import small
+from terrachron.llm.shared import settle
 from terrachron.llm.textcore import chunks, mix, powers
 
 #: Bins of the levels 1, 2, and 3 and above.
@@ -24,6 +26,8 @@ BINS = (16, 24, 24)
 N_BINS = sum(BINS)
 EMPTY = np.uint32(0xFFFFFFFF)
 ENOUGH = 12
+#: Bytes of text in a block, blocks at most (they get larger then), sampled rows for each block, and bytes read at a time.
+BLOCK_BYTES, MOST_BLOCKS, SAMPLED, SLICE_BYTES = 4 << 20, 20_000, 50, 4 << 20
 _NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -39,7 +43,7 @@ def _table(symbols: int) -> np.ndarray:
     return _toss(x.ravel(), before.ravel()) & 0x1F
 
 
-_PAIR, _LABEL = _table(256), _table(32)
+_PAIR, _WIDE, _LABEL = _table(256), _table(128), _table(32)
 
 
 def _starts(label: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -89,7 +93,11 @@ def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             label = _PAIR[(before.astype(np.uint16) << 8) | x]
             name = _NAMES[x]
         else:
-            label = _LABEL[(_toss(before, x) & 0x1F).astype(np.uint16) << 5 | (_toss(x, before) & 0x1F)]
+            tossed = _toss(x, before) & np.uint8(0x7F)
+            label = np.empty_like(tossed)
+            label[0], label[1:] = 0x7F, tossed[:-1]
+            label[first] = 0x7F
+            label = _WIDE[(label.astype(np.uint16) << 7) | tossed]
             name = x
         with np.errstate(over="ignore"):
             name = np.where(run > 1, mix(name + run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), name)
@@ -140,45 +148,109 @@ def sketch_texts(texts: list[str]) -> np.ndarray:
     return np.concatenate([sketches(data, off) for _, _, data, off in chunks(column, 1 << 19)]) if texts else np.zeros((0, N_BINS), np.uint32)
 
 
-def with_following(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
-    """(block, tail, doc_id, text): blocks of neighbouring ids, each with the first rows of the block that follows.
-
-    The block after the last is the first. Which blocks follow each other is found from one row for each block, in two
-    levels of windows; a block has 2 ** bits ids at most.
+def bounds_of(rows: DataFrame) -> tuple[list[int], list[int]]:
+    """Where blocks of about BLOCK_BYTES begin, as (at, h) in order: quantiles of a sample, at most MOST_BLOCKS - 1 of them."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    blocks = int(min(MOST_BLOCKS, -(-size // BLOCK_BYTES)))
+    if blocks < 2:
+        return [], []
+    share = min(1.0, SAMPLED * blocks / n)
+    t = rows.where(F.rand(7) < share).select("at", "h", "bytes").toArrow()  # about SAMPLED * MOST_BLOCKS rows at most
+    at, h = t.column("at").to_numpy(), t.column("h").to_numpy()
+    order = np.lexsort((h, at))
+    weight = np.cumsum(t.column("bytes").to_numpy()[order] + 1)
+    cut = order[np.searchsorted(weight, weight[-1] * np.arange(1, blocks) / blocks)] if len(order) else order
+    return at[cut].tolist(), h[cut].tolist()
+
+
+def block_of(bounds: tuple[list[int], list[int]]) -> Column:
+    """The block of a row (at, h) by binary search; rows that several bounds equal are dealt out among their blocks."""
+    n = len(bounds[0])
+    if not n:
+        return F.lit(0)
+    a, h = (f"transform(split('{','.join(map(str, b))}', ','), x -> bigint(x))" for b in bounds)  # folded to one constant
+    steps = n.bit_length()
+
+    def found(less: str) -> str:
+        """How many bounds are less than the row, or (``<=``) not above it."""
+        j = f"(lo + shiftleft(1, {steps - 1} - k))"
+        here = lambda b: f"element_at({b}, {j})"
+        return f"aggregate(sequence(0, {steps - 1}), 0, (lo, k) -> if({j} <= {n} and ({here(a)} < at or ({here(a)} = at and {here(h)} {less} h)), {j}, lo))"
+
+    return F.transform(
+        F.array(F.struct(F.expr(found("<")).alias("a"), F.expr(found("<=")).alias("b"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(MOST_BLOCKS * 1000)).alias("r"))),
+        lambda x: F.when(x["b"] - x["a"] > 1, x["a"] + 1 + (x["r"] % (x["b"] - x["a"])).cast("int")).otherwise(x["b"]),
+    )[0]
+
+
+def with_following(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(block, tail, at, h, doc_id, text): blocks of neighbouring rows, each with the first row of the block that follows as its tail.
+
+    Rows are in the order of their ids (null last), then of a hash of their text. The block after the last is the first.
+    Blocks have about the same bytes, however ids are spread; many equal rows make several blocks.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    rows = rows.withColumn("block", F.shiftright("at", bits))
-    heads = rows.groupBy("block").agg(F.min("at").alias("head")).withColumn("area", F.shiftright("block", 12))
-    inner = Window.partitionBy("area").orderBy("block")
-    areas = heads.groupBy("area").agg(F.max("block").alias("last")).withColumn("to", F.coalesce(F.lag("last").over(Window.orderBy("area")), F.max("last").over(Window.orderBy("area").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    back = heads.withColumn("prev", F.lag("block").over(inner)).join(areas, "area").select(F.col("head"), F.coalesce("prev", "to").alias("prev"))
-    rows = rows.join(small(back, heads.count()), F.col("at") == F.col("head"), "left")
-    own = F.struct(F.col("block"), F.lit(False).alias("tail"))
-    copies = F.when(F.col("prev").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("prev").alias("block"), F.lit(True).alias("tail"))))
-    return rows.select(F.explode(copies).alias("c"), "doc_id", "text").select("c.block", "c.tail", "doc_id", "text")
-
-
-def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = 7) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "h": F.xxhash64(F.coalesce("text", F.lit(""))), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    rows = rows.withColumn("block", block_of(bounds_of(rows)))
+    heads = settle(rows.groupBy("block").agg(F.min(F.struct("at", "h")).alias("head")).select("block", "head.at", "head.h"))  # a row for each block, at most MOST_BLOCKS
+    order = Window.orderBy("block")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("to", F.coalesce(F.lag("block").over(order), F.max("block").over(whole)))
+    wanted = F.broadcast(heads.select(F.col("at").alias("_at"), F.col("h").alias("_h")).distinct())
+    first = rows.join(wanted, (F.col("at") == F.col("_at")) & (F.col("h") == F.col("_h"))).groupBy("at", "h").agg(F.first("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    tails = settle(first.join(F.broadcast(heads.select("at", "h", F.col("to").alias("block"))), ["at", "h"]).select("block", F.lit(True).alias("tail"), "at", "h", "doc_id", "text"))
+    return rows.select("block", F.lit(False).alias("tail"), "at", "h", "doc_id", "text").unionByName(tails)
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE_BYTES of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False) + 1)
+    cut = np.flatnonzero(np.diff(size // SLICE_BYTES, prepend=0))
+    for i, j in zip([0, *cut], [*cut, b.num_rows]):
+        if j > i:
+            yield b.slice(i, j - i)
+
+
+def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of it with its last quarter replaced by the start of the next document.
 
-    The next document is that with the next id, after the last the first; rows of one id are ordered by their text and
-    null ids come last. Null texts are empty. One row per row: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. A lone row is its own next; no rows give no rows. Texts are shuffled
-    once, to blocks of neighbouring ids.
+    The next document is that with the next id, after the last the first; rows of one id are ordered by a hash of their
+    text and null ids come last. Null texts are empty. Ids must be integers. One row per row: doc_id, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A lone row is its own next; no rows give no
+    rows. Texts are shuffled once, to blocks of about the same bytes, and streamed through Python in order.
     """
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{doc_id} must be a whole number, not {kind.simpleString()}")
     schema = T.StructType.fromDDL("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
-    def run(block: pa.Table) -> pa.Table:
-        rows = sorted(zip(block.column("tail").to_pylist(), block.column("doc_id").to_pylist(), block.column("text").to_pylist()), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] or ""))
-        own = [(i, t or "") for tail, i, t in rows if not tail]
-        after = [t or "" for tail, _, t in rows if tail][:1]
-        texts = [t for _, t in own] + after
-        edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:])]
-        a, e = sketch_texts(texts), sketch_texts(edited)
-        n = len(own)
-        return pa.table(
-            [pa.array([i for i, _ in own], pa.int64()), pa.array([len(t) for _, t in own], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()), pa.array(as_strings(a[:n]), pa.string()), pa.array(as_strings(e), pa.string()), pa.array(likeness(a[:n], e), pa.float64()), pa.array(likeness(a[:n], a[1 : n + 1]), pa.float64())],
+    def emitted(own: list[tuple[int, str]], after: list[str]) -> pa.RecordBatch:
+        texts = [t for _, t in own]
+        edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, after)]
+        n = len(texts)
+        # the next text of a row is the row after it, but at the end of a block
+        at = np.arange(1, n + 1)
+        odd = [k for k in range(n) if k + 1 == n or after[k] is not texts[k + 1]]
+        at[odd] = n + np.arange(len(odd))
+        a, e = sketch_texts([*texts, *(after[k] for k in odd)]), sketch_texts(edited)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in own], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()), pa.array(as_strings(a[:n]), pa.string()), pa.array(as_strings(e), pa.string()), pa.array(likeness(a[:n], e), pa.float64()), pa.array(likeness(a[:n], a[at]), pa.float64())],
             names=schema.names,
         )
 
-    return with_following(docs, doc_id, text, bits).groupBy("block").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, str] | None = None  # block, id and text of a row whose next hasn't come
+        for b in batches:
+            for s in _slices(b):
+                own, after = [], []
+                for block, tail, i, t in zip(s.column("block").to_pylist(), s.column("tail").to_pylist(), s.column("doc_id").to_pylist(), s.column("text").to_pylist()):
+                    t = t or ""
+                    if held is not None and held[0] == block:
+                        own.append(held[1:])
+                        after.append(t)
+                    held = None if tail else (block, i, t)
+                if own:
+                    yield emitted(own, after)
+
+    rows = with_following(docs, doc_id, text)
+    return rows.repartition("block").sortWithinPartitions("block", "tail", "at", "h").select("block", "tail", "doc_id", "text").mapInArrow(run, schema)

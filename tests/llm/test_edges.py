@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -15,7 +16,7 @@ from terrachron.llm.html_extract import content_blocks, extract_main_text
 from terrachron.llm.lm_score import Weights, score_texts
 from terrachron.llm.mixing import mix, mixed_documents
 from terrachron.llm.neardup import near_duplicates
-from terrachron.llm import pii
+from terrachron.llm import fingerprints, pii
 from terrachron.llm.quality import classify_quality
 from terrachron.llm.url_filter import judge_urls
 
@@ -244,6 +245,63 @@ def test_near_duplicates(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["id", "id * 4611686018427387 % 9000000000000000000", "if(id < 700, 5, id)", "if(id < 700, null, id)"])
+def test_fingerprints_of_any_ids(spark, monkeypatch, ids):
+    """Dense, sparse, repeated and null ids, in many blocks, against the order computed here."""
+    import hashlib
+
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", 2000)
+    df = spark.range(1000).selectExpr(f"cast({ids} as bigint) doc_id", "if(id < 300, 'the same text', repeat(concat('w', id % 331, ' '), int(id % 17))) text").repartition(3)
+    rows = df.withColumn("h", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))
+    want = []
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        q = len(r.text) // 4
+        edited = r.text[: len(r.text) - q] + after.text[:q]
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprint_edits(df).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+
+
+def test_blocks_split_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", 4000)
+    df = spark.range(30_000).selectExpr("if(id < 10000, 7, id) doc_id", "if(id < 10000, 'one text on many rows', concat('text ', id)) text")
+    sizes = [r["count"] for r in fingerprints.with_following(df, "doc_id", "text").groupBy("block").count().collect()]
+    assert max(sizes) < 8 * np.median(sizes) and sum(sizes) == 30_000 + len(sizes)
+
+
+def test_fingerprints_need_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        fingerprint_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_fingerprints_against_a_plain_version():
+    """Phrases of the first level by a loop over characters name the same minima."""
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 103, 400, dtype=np.uint8))
+
+    def toss(x, before):
+        low = ((x ^ before) & -(x ^ before)).bit_length() - 1 if x != before else 8
+        return low << 1 | (x >> low & 1)
+
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(text)]
+    label = [toss(c, runs[k - 1][0] if k else 0) & 0x1F for k, (c, _) in enumerate(runs)]
+    for _ in range(2):
+        label = [toss_small(x, label[k - 1] if k else 31) for k, x in enumerate(label)]
+    starts = [k for k in range(len(label)) if k == 0 or label[k] > label[k - 1] and (k + 1 == len(label) or label[k] > label[k + 1])]
+    data = np.frombuffer(text, dtype=np.uint8)
+    joined, _ = fingerprints._joined(data, np.array([0]))
+    x = data[joined]
+    before = np.append(np.uint8(0), x[:-1])
+    got = fingerprints._starts(fingerprints._PAIR[(before.astype(np.uint16) << 8) | x], np.array([0]))
+    assert got.tolist() == starts
+
+
+def toss_small(x, before):
+    low = ((x ^ before) & -(x ^ before)).bit_length() - 1 if x != before else 8
+    return (low << 1 | (x >> low & 1)) & 0x1F
+
+
 def test_fingerprints(docs):
     got = fingerprint_edits(docs).collect()
     assert len(got) == len(ROWS)
