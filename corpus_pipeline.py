@@ -16,29 +16,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts, and those of a null or unknown language, are judged by the limit over all languages; rows of
+    one id are judged each; without labels, or without rows, nothing is rejected. Other columns pass through.
+    """
     return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id, and one row of it."""
+    """One document of each group stays: that with the smallest id, and one row of it (by a hash of its columns).
+
+    Rows with a null id stay, all of them, as do null texts and texts without words of their own id; very long texts
+    are compared whole. No rows give no rows; other columns pass through.
+    """
     gone = settle(near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
     several = settle(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several")))
     n = several.count()
     if n:
         same = F.col("doc_id") == F.col("_several")
-        left = left.join(small(several, n), same, "left_anti").unionByName(left.join(small(several, n), same, "left_semi").dropDuplicates(["doc_id"]))
+        one = left.join(small(several, n), same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        left = left.join(small(several, n), same, "left_anti").unionByName(one.select("row.*"))
     return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, all rows of their id with them (null is an id).
+
+    Null and empty texts hold nothing; with an empty or missing item text nothing is held. Other rows and columns stay.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses become pseudonyms; all documents stay."""
+    """Personal numbers, dates and addresses become pseudonyms, by the key of the session; all documents stay.
+
+    Null texts stay null with their ``n_chars``; of others it is counted anew. Repeated rows stay as they are.
+    """
     return pseudonymise(docs, key=session_key(spark)).select(*docs.columns)
 
 

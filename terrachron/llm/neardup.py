@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrachron.llm.components import components
-from terrachron.llm.shared import settle, small
+from terrachron.llm.shared import forget, settle, small
 from terrachron.llm.textcore import as_text, chunks, mix, shingles, words
 
 COORDINATES = 40
@@ -200,31 +200,36 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     hubs = prefix.groupBy("key").agg(F.min("id").alias("a"))
     star = settle(alike(prefix.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, matches, percent))
     wanted = settle(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    links = confirmed(star, settle(full_sets(docs, wanted, doc_id, text, size)), percent)
+    sets = settle(full_sets(docs, wanted, doc_id, text, size))
+    near = confirmed(star, sets, percent)
+    forget(star, wanted, sets)
     # several texts of one id join their classes
     several = rows.where("n > 0").groupBy("doc_id").agg((F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("s")).where("s").select("doc_id")
     own = rows.select("doc_id", "h1", "h2", "n").join(several, "doc_id").join(classes.drop("sig"), ["h1", "h2", "n"]).where("doc_id <> id")
-    links = settle(links.unionAll(own.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b"))).distinct())
-    first = settle(components(links))
-    label = F.coalesce("component", "id")
-    labelled = settle(prefix.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label.alias("component")))
+    first = settle(components(near.unionAll(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))))
+    forget(near)
+    labelled = settle(prefix.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open")
     open_lists = settle(labelled.join(mixed.select("key"), "key"))
+    forget(labelled, prefix)
     members = settle(open_lists.select("id", "component").distinct())
     sets = settle(full_sets(docs, members.select("id"), doc_id, text, size))
     able = members.select("id").join(classes.select("id", "n", "sig"), "id").join(shared_sets(members, sets), "id")
     # the smallest partner that a link allows has percent / 100 of its size
     able = settle(able.where(100 * F.size("shared") >= percent * F.col("n")))
+    forget(sets, members)
     dealt = open_lists.join(able.select("id"), "id")
     dealt = settle(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"))
-    able = able.join(dealt.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    with_keys = able.join(dealt.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+    blocks = dealt.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # a member of block k meets the blocks k.. as the left side, and the blocks ..k as the right
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "id", "component", "own", other).select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"))
-    more = settle(merge_lists(dealt.join(able, "id"), matches, percent))
-    if not more.isEmpty():
-        first = settle(components(links.unionAll(more)))
+    blocks = blocks.select("key", "id", "component", "own", other).select("key", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"))
+    more = settle(merge_lists(blocks.join(with_keys, "id"), matches, percent))
+    forget(open_lists, able, dealt)
+    if not more.isEmpty():  # components of components
+        last, first = first, settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)))
+        forget(last)
     of_class = classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
     out = rows.drop("sig").join(of_class, ["h1", "h2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

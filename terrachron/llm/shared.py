@@ -26,7 +26,17 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*settled: DataFrame) -> None:
+    """Deletes the files of frames that :func:`settle` made, when nothing that is still to be computed reads them."""
+    for df in settled:
+        jvm, path = df.sparkSession._jvm, df.settled_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int, max_rows: int = 1_000_000) -> DataFrame:
