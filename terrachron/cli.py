@@ -27,6 +27,13 @@ def observed(spark: SparkSession, path: str, regions: list[str] | None = None, y
     return out.where(F.col("year").isin(*years)) if years else out
 
 
+def data_mark(df: DataFrame) -> str:
+    """Files, sizes and times of what ``df`` reads, so that new observations are seen; no column is read."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    r = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("s")).first()
+    return f"{r.n}:{r.s}"
+
+
 def run(engine: LandHistory, bundles: Bundles, images: bool = False, scenes: DataFrame | None = None) -> None:
     """Pixel facts as Parquet, and a bundle for each region; rows come to the driver one region or tile at a time.
 
@@ -97,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         serve(Service(bundles, analyse), a.port)
         return 0
     engine = LandHistory(observed(spark, a.observations, regions, years), params)
-    mark = fingerprint({"command": a.command, "input": a.observations, "regions": regions, "second": a.second, "scenes": a.scenes, "images": a.images, "years": engine.years, "params": repr(engine.params)})
+    mark = fingerprint({"command": a.command, "input": a.observations, "regions": regions, "second": a.second, "scenes": a.scenes, "images": a.images, "data": [data_mark(spark.read.parquet(x)) for x in (a.observations, a.second, a.scenes) if x], "years": engine.years, "params": repr(engine.params)})
     seen = Path(a.output) / f"{a.command}.fingerprint"
     if not a.force and seen.exists() and seen.read_text() == mark:
         return 0

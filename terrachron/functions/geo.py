@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BANDS = "CDEFGHJKLMNPQRSTUVWX"
 # WGS84 ellipsoid and UTM scale.
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
+# Length of a degree, limits of an area and of an overlay, and the pattern of names.
 KM_PER_DEGREE = 111.32
 MAX_AREA_KM2 = 1500.0
 MAX_OVERLAY_PX = 1600

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrachron.functions.dims import STATES, Params
 from terrachron.functions.geo import from_utm
@@ -61,47 +64,81 @@ def located(spots: DataFrame, x0: float, y1: float, zone: int, north: bool = Tru
 
 def scaled(feats: DataFrame) -> DataFrame:
     """Features of each region with mean 0 and population deviation 1; constant features are 0."""
-    w = Window.partitionBy("region")
-    z = {c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.round(F.stddev_pop(c).over(w), 12), F.lit(0.0)), F.lit(0.0)) for c in FEATURES}
-    return feats.select(*BLOCK, *(F.round(v, 6).alias(c) for c, v in z.items()))
-
-
-def clusters(feats: DataFrame, p: Params, seed: int = 42, starts: int = 3) -> DataFrame:
-    """(region, br, bc, label, k, silhouette) of the regions together: k-means with the k of the best silhouette.
-
-    The smallest k wins ties; without variance, or with too few blocks, all are one cluster of silhouette 0. The
-    silhouette is MLlib's, over all blocks, on squared distances.
+    of = feats.groupBy("region").agg(*(F.avg(c).alias(f"m_{c}") for c in FEATURES), *(F.nullif(F.round(F.stddev_pop(c), 12), F.lit(0.0)).alias(f"d_{c}") for c in FEATURES))
+    return feats.join(of, "region").select(*BLOCK, *(F.round(F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}"), F.lit(0.0)), 6).alias(c) for c in FEATURES))
+
+
+def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 100) -> tuple[float, np.ndarray]:
+    """Cost and labels of one fit from centres that are drawn far from each other."""
+    centres = [x[rng.integers(len(x))]]
+    far = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        centres.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else x[rng.integers(len(x))])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    c, label = np.array(centres), None
+    for _ in range(rounds):
+        d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+        new = d.argmin(1)
+        if label is not None and (new == label).all():
+            break
+        label = new
+        c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+    return float(((x - c[label]) ** 2).sum()), label
+
+
+def silhouette(x: np.ndarray, label: np.ndarray, rows: int = 1024) -> float:
+    """Mean silhouette on Euclidean distances, a slice of rows at a time; 0 for a cluster of one."""
+    kinds, label = np.unique(label, return_inverse=True)
+    size = np.bincount(label)
+    total = 0.0
+    for a in range(0, len(x), rows):
+        part, own = x[a : a + rows], label[a : a + rows]
+        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] - 2 * part @ x.T + (x**2).sum(1), 0))
+        per = np.stack([d[:, label == j].sum(1) for j in range(len(kinds))], 1)
+        at = np.arange(len(part))
+        inner = per[at, own] / np.maximum(size[own] - 1, 1)
+        mean = per / size
+        mean[at, own] = np.inf
+        outer = mean.min(1)
+        total += np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-12), 0.0).sum()
+    return total / len(x)
+
+
+def clusters(feats: DataFrame, p: Params, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(region, br, bc, label, k, silhouette): each region's blocks by k-means, with the k of the best silhouette.
+
+    The best of ``starts`` fits counts, and the smallest k wins ties; labels are numbered by their first block in row
+    order, so reruns agree. A region without variance, or with too few blocks, is one cluster of silhouette 0. A
+    region's blocks are one group in one task: a region is at most MAX_AREA_KM2, some ten thousand blocks.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    feats = feats.persist()  # a row for each block
-    z = scaled(feats).persist()
-    spread = feats.agg(F.count("*").alias("n"), F.greatest(*(F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in FEATURES)).alias("s")).first()
-    one = z.select(*BLOCK, F.lit(0).alias("label"), F.lit(1).alias("k"), F.lit(0.0).alias("silhouette"))
-    if spread["n"] < p.k_min + 1 or spread["s"] < 1e-6:
-        return one
-    data = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(z.orderBy(*BLOCK).coalesce(1) if spread["n"] < 10_000 else z)
-    judge, best = ClusteringEvaluator(featuresCol="x", predictionCol="label"), (-2.0, None)
-    for k in range(p.k_min, min(p.k_max, spread["n"] - 1) + 1):
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="x", predictionCol="label", maxIter=30).fit(data) for i in range(starts)]
-        model = min(fits, key=lambda m: m.summary.trainingCost)
-        out = model.transform(data)
-        if out.select("label").distinct().count() < 2:
-            continue
-        score = judge.evaluate(out)
-        if score > best[0] + 1e-12:
-            best = (score, out.select(*BLOCK, "label", F.lit(k).alias("k"), F.lit(score).alias("silhouette")))
-    return best[1] if best[1] is not None else one
+    z = scaled(feats)
+    schema = T.StructType([*z.select(*BLOCK).schema.fields, *T.StructType.fromDDL("label int, k int, silhouette double").fields])
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("br", "ascending"), ("bc", "ascending")])
+        x = np.stack([group.column(c).to_numpy() for c in FEATURES], 1)
+        best = (0.0, 1, np.zeros(len(x), dtype=np.int64))
+        if len(x) > p.k_min and x.std(0).max() >= 1e-6:
+            rng, found = np.random.default_rng(seed), []
+            for k in range(p.k_min, min(p.k_max, len(x) - 1) + 1):
+                label = min((k_means(x, k, rng) for _ in range(starts)), key=lambda f: f[0])[1]
+                if len(np.unique(label)) > 1:
+                    found.append((round(silhouette(x, label), 9), k, label))
+            best = max(found, key=lambda f: (f[0], -f[1]), default=best)
+        _, first, label = np.unique(best[2], return_index=True, return_inverse=True)
+        label = np.argsort(np.argsort(first))[label]
+        out = [pa.array(label, pa.int32()), pa.array([best[1]] * len(x), pa.int32()), pa.array([best[0]] * len(x), pa.float64())]
+        return pa.table([*(group.column(c) for c in BLOCK), *out], names=schema.names)
+
+    return z.groupBy("region").applyInArrow(fit, schema)
 
 
 def profiles(feats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Size, means and commonest first and final state of each cluster; the first state in order wins ties."""
+    """Size, means and commonest first and final state of each region's clusters; the first state in order wins ties."""
     each = feats.join(labels.select(*BLOCK, "label"), BLOCK)
-    out = each.groupBy("label").agg(F.count("*").alias("blocks"), *(F.avg(c).alias(c) for c in FEATURES))
+    out = each.groupBy("region", "label").agg(F.count("*").alias("blocks"), *(F.avg(c).alias(c) for c in FEATURES))
     top = lambda stem: F.greatest(*(F.struct(F.col(f"{stem}_{v}").alias("m"), F.lit(-k).alias("k")) for k, v in STATES.items()))["k"]
-    return out.select("label", "blocks", F.round("changed", 3).alias("changed_fraction"), name_of(-top("first")).alias("dominant_initial_state"), name_of(-top("final")).alias("dominant_final_state"), F.round("change_timing", 3).alias("mean_change_timing"), F.round("volatility", 3).alias("volatility"))
+    return out.select("region", "label", "blocks", F.round("changed", 3).alias("changed_fraction"), name_of(-top("first")).alias("dominant_initial_state"), name_of(-top("final")).alias("dominant_final_state"), F.round("change_timing", 3).alias("mean_change_timing"), F.round("volatility", 3).alias("volatility"))
 
 
 def to_pixels(pixel: DataFrame, labels: DataFrame, p: Params) -> DataFrame:

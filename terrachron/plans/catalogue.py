@@ -38,7 +38,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """(id, west, south, east, north) of up to 8 by 9 degrees."""
-    p, k = points(spark, d).where("lon < 170 AND lat < 70"), F.col("id")
+    p, k = points(spark, d).withColumns({"lon": F.least("lon", F.lit(170.0)), "lat": F.least("lat", F.lit(70.0))}), F.col("id")
     return p.select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + (k % 80 + 1) / 10).alias("east"), (F.col("lat") + (k % 90 + 1) / 10).alias("north"))
 
 
@@ -66,8 +66,13 @@ def _best_scene(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    spots = engine(spark, d).hotspots.withColumn("dominant_year", F.col("dominant_year") % 4 + 2022)
-    return source.evidence_pairs(spots, source.scenes(spark, d)).select("region", "rank", F.col("dominant_year").alias("year"), "before", "after")
+    """Hotspots at a hundredth of a degree for each pixel, and scenes whose days and places follow from their ids."""
+    k, px = F.col("scene_id"), PARAMS.block_px / 100
+    west, south = F.col("region") + F.col("bc") * px, F.col("br") * px
+    spots = engine(spark, d).hotspots.withColumns({"west": west, "south": south, "east": west + px, "north": south + px})
+    west, south = (k * 37 % 2000) / 100, (k * 11 % 40) / 100 - 0.3
+    shown = source.scenes(spark, d).withColumns({"day": F.date_add(F.lit("1993-01-01").cast("date"), (k * 13 % 2900).cast("int")), "west": west, "south": south, "east": west + 0.4, "north": south + 0.3})
+    return source.evidence_pairs(spots, shown).select("region", "rank", F.col("dominant_year").alias("year"), "before", "after")
 
 
 def _tile_ranges(spark: SparkSession, d: str) -> DataFrame:

@@ -115,7 +115,7 @@ base AS (SELECT region, here AS state, count(*) pixels, count(*) FILTER (WHERE o
 QUART = ", qs AS (SELECT region, count(*) events, quantile_cont(score, 0.25) q1, quantile_cont(score, 0.5) q2, quantile_cont(score, 0.75) q3 FROM {0} GROUP BY region)"
 BIN = "CASE WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 WHEN score <= q3 THEN 3 ELSE 4 END"
 POINTS = "p AS (SELECT c_custkey id, (c_custkey * 37) % 3600 / 10 - 180 AS lon, (c_custkey * 53) % 1600 / 10 - 80 AS lat FROM customer)"
-BOXES = POINTS + ", bx AS (SELECT id, lon west, lat south, lon + (id % 80 + 1) / 10 AS east, lat + (id % 90 + 1) / 10 AS north FROM p WHERE lon < 170 AND lat < 70)"
+BOXES = POINTS + ", bx AS (SELECT id, lon west, lat south, lon + (id % 80 + 1) / 10 AS east, lat + (id % 90 + 1) / 10 AS north FROM (SELECT id, least(lon, 170) AS lon, least(lat, 70) AS lat FROM p))"
 ZONE = "least(CAST(floor(({0} + 180) / 6) AS INT) + 1, 60)"
 BANDNO = "least(CAST(floor(({0} + 80) / 8) AS INT), 19)"
 BAND = f"substr('{BANDS}', {BANDNO} + 1, 1)"
@@ -153,9 +153,10 @@ SQL: dict[str, str] = {
     "resample_nearest": q(OBS, "SELECT a.region, a.r, a.c, a.year, coalesce(b.src, 0) AS src FROM obs a LEFT JOIN obs b ON a.region = b.region AND a.year = b.year AND b.r = a.r // 3 * 3 AND b.c = a.c // 3 * 3"),
     "wc_tiles": q(BOXES, ", x AS (SELECT *, unnest(range(CAST(floor(south / 3) * 3 AS INT), CAST(ceil(north / 3) * 3 AS INT), 3)) la FROM bx), y AS (SELECT *, unnest(range(CAST(floor(west / 3) * 3 AS INT), CAST(ceil(east / 3) * 3 AS INT), 3)) lo FROM x) SELECT id, CASE WHEN la >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(la) AS VARCHAR), 2, '0') || CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(lo) AS VARCHAR), 3, '0') AS tile FROM y"),
     "best_scene": q(SCENES, ", wk AS (SELECT DISTINCT date_trunc('week', CAST(ts AS DATE)) AS st FROM events) SELECT strftime(st, '%Y-%m-%d') AS start, arg_min(scene_id, (cloud, scene_id)) AS scene_id, min(cloud) AS cloud FROM wk JOIN sn ON day BETWEEN st AND st + INTERVAL 6 DAY GROUP BY st"),
-    "evidence_pairs": q(SC + HOT + ", " + SCENES, ", y AS (SELECT region, rank, dominant_year % 4 + 2022 AS year FROM hs), "
-        + ", ".join(f"{n} AS (SELECT region, rank, arg_min(scene_id, (cloud, scene_id)) AS id FROM y JOIN sn ON day BETWEEN make_date(year + {a[0]}, {a[1]}, {a[2]}) AND make_date(year + {b[0]}, {b[1]}, {b[2]}) GROUP BY ALL)" for n, a, b in (("b1", (-1, 1, 1), (-1, 6, 30)), ("b2", (-2, 1, 1), (-1, 6, 30)), ("a1", (1, 1, 1), (1, 12, 31)), ("a2", (0, 7, 1), (1, 12, 31))))
-        + ", o AS (SELECT y.region, y.rank, year, coalesce(b1.id, b2.id) AS before, coalesce(a1.id, a2.id) AS after FROM y LEFT JOIN b1 USING (region, rank) LEFT JOIN b2 USING (region, rank) LEFT JOIN a1 USING (region, rank) LEFT JOIN a2 USING (region, rank)) SELECT * FROM o WHERE before IS NOT NULL AND after IS NOT NULL"),
+    "evidence_pairs": q(SC + HOT, ", p1 AS (SELECT CAST(0.1 AS DOUBLE) AS px), sn AS (SELECT event_id AS scene_id, DATE '1993-01-01' + CAST(event_id * 13 % 2900 AS INT) AS day, value AS cloud, (event_id * 37 % 2000) / 100 AS w, (event_id * 11 % 40) / 100 - CAST(0.3 AS DOUBLE) AS s FROM events WHERE value < 20), "
+        "y AS (SELECT region, rank, dominant_year AS year, region + bc * px AS w, br * px AS s, px FROM hs, p1), "
+        + ", ".join(f"{n} AS (SELECT region, rank, arg_min(scene_id, (cloud, scene_id)) AS id FROM y JOIN sn ON day BETWEEN make_date(year + {a[0]}, {a[1]}, {a[2]}) AND make_date(year + {b[0]}, {b[1]}, {b[2]}) AND y.w < sn.w + CAST(0.4 AS DOUBLE) AND sn.w < y.w + px AND y.s < sn.s + CAST(0.3 AS DOUBLE) AND sn.s < y.s + px GROUP BY ALL)" for n, a, b in (("b1", (-1, 1, 1), (-1, 6, 30)), ("b2", (-2, 1, 1), (-1, 6, 30)), ("a1", (1, 1, 1), (1, 12, 31)), ("a2", (0, 7, 1), (1, 12, 31))))
+        + ", o AS (SELECT y.region, y.rank, year, coalesce(b1.id, b2.id) AS before, coalesce(a1.id, a2.id) AS after FROM y LEFT JOIN b1 USING (region, rank) LEFT JOIN b2 USING (region, rank) LEFT JOIN a1 USING (region, rank) LEFT JOIN a2 USING (region, rank)) SELECT region, rank, year, CASE WHEN after IS NOT NULL THEN before END AS before, CASE WHEN before IS NOT NULL THEN after END AS after FROM o"),
     "raster_layers": q(AN, "SELECT region, r, c, yoc AS year_of_change, from_state, to_state, CAST(floor(score * 100 + 1e-9) AS INT) AS confidence, tier AS confidence_tier, archetype, CAST(anomaly AS INT) AS anomaly FROM pa"),
     "raster_tiles": q(AN, ", l AS (SELECT region, r, c, CAST(yoc AS INT) AS year_of_change, CAST(from_state AS INT) AS from_state, CAST(to_state AS INT) AS to_state, CAST(floor(score * 100 + 1e-9) AS INT) AS confidence, CAST(tier AS INT) AS confidence_tier, CAST(archetype AS INT) AS archetype, CAST(anomaly AS INT) AS anomaly FROM pa),"
         " u AS (SELECT * FROM l UNPIVOT INCLUDE NULLS (v FOR layer IN (year_of_change, from_state, to_state, confidence, confidence_tier, archetype, anomaly)))"

@@ -72,7 +72,7 @@ def validations(engine: LandHistory, second: DataFrame | None = None) -> DataFra
 
 def evidences(engine: LandHistory, scenes: DataFrame, most: int = 3) -> DataFrame:
     """(region, evidence): JSON with the scenes (scene_id, day, cloud) before and after each of the first ``most`` hotspots."""
-    found = evidence_pairs(engine.hotspots.where(F.col("rank") <= most), scenes).select("region", "rank", "dominant_year", "before", "after")
+    found = evidence_pairs(engine.hotspots.where(F.col("rank") <= most), scenes).where("before IS NOT NULL").select("region", "rank", "dominant_year", "before", "after")
     return _rows(found, "pairs", "rank").select("region", F.to_json(F.struct("region", "pairs")).alias("evidence"))
 
 

@@ -10,7 +10,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from urllib.parse import parse_qs, unquote, urlsplit
@@ -24,34 +24,28 @@ MAX_QUERY, MAX_PLACES, SPACING = 200, 5, 1.1
 
 
 class Jobs:
-    """A queue with one worker; jobs go from queued to running to done or error."""
+    """Work that runs one after the other; what is known of a job is read from its future."""
 
     def __init__(self) -> None:
-        self._pool, self._lock, self._jobs = ThreadPoolExecutor(max_workers=1), threading.Lock(), {}
+        self._pool = ThreadPoolExecutor(max_workers=1)
+        self._known: dict[str, tuple[Future, dict, dict]] = {}
 
     def submit(self, region: str, work: Callable[[], None]) -> str:
-        job = uuid.uuid4().hex[:12]
-        self._note(job, id=job, region=region, status="queued", started=time.time())
-        self._pool.submit(self._run, job, work)
-        return job
-
-    def _note(self, job: str, **values: object) -> None:
-        with self._lock:
-            self._jobs[job] = self._jobs.get(job, {}) | values
-
-    def _run(self, job: str, work: Callable[[], None]) -> None:
-        self._note(job, status="running")
-        try:
-            work()
-            self._note(job, status="done", finished=time.time())
-        except Exception as e:  # noqa: BLE001 - a job's failure is its result
-            self._note(job, status="error", error=str(e), finished=time.time())
+        times = {"started": time.time()}
+        future = self._pool.submit(work)
+        future.add_done_callback(lambda _: times.update(finished=time.time()))
+        name = uuid.uuid4().hex[:12]
+        self._known[name] = (future, {"id": name, "region": region} | times, times)
+        return name
 
     def get(self, job: str) -> dict:
-        with self._lock:
-            if job not in self._jobs:
-                raise Refused(404, "unknown job")
-            return dict(self._jobs[job])
+        if job not in self._known:
+            raise Refused(404, f"there is no job {job}")
+        future, about, times = self._known[job]
+        if not future.done():
+            return about | {"status": "running" if future.running() else "queued"}
+        failure = future.exception()
+        return about | times | ({"status": "error", "error": str(failure)} if failure else {"status": "done"})
 
 
 class Places:
@@ -85,26 +79,41 @@ class Service:
         self.jobs, self.places = Jobs(), Places(search)
 
     def request(self, body: dict) -> dict:
-        """Queues an analysis, by the region's name or by its box; an existing bundle of that name is done already."""
-        years = body.get("years")
-        bad = [y for y in years or [] if self.years and y not in self.years]
-        if bad:
-            raise Refused(400, f"years {bad} are not available")
-        name = body.get("name")
-        if any(k in body for k in ("west", "south", "east", "north")):
-            try:
-                box = BBox(*(float(body[k]) for k in ("west", "south", "east", "north")))
-            except (KeyError, TypeError, ValueError) as e:
-                raise Refused(400, f"bad box: {e}") from e
-            area = (box.east - box.west) * (box.north - box.south) * KM_PER_DEGREE**2 * math.cos(math.radians((box.south + box.north) / 2))
-            if area > MAX_AREA_KM2:
-                raise Refused(400, f"the area has {area:.0f} km², the limit is {MAX_AREA_KM2:.0f}")
-            name = name or aoi_name(box.west, box.south, box.east, box.north, tuple(years or self.years))
-        if not isinstance(name, str) or not re.match(NAME, name):
-            raise Refused(400, f"the name must match {NAME}")
-        if self.bundles.summary(name) is not None:
-            return {"status": "done", "region": name}
-        return {"status": "queued", "job": self.jobs.submit(name, lambda: self.analyse(name, years)), "region": name}
+        """Answers with the bundle that a request means, or with the job that will make it."""
+        years = self._years(body.get("years"))
+        region = self._region(body, years)
+        if self.bundles.summary(region):
+            return {"status": "done", "region": region}
+        return {"status": "queued", "region": region, "job": self.jobs.submit(region, lambda: self.analyse(region, years))}
+
+    def _years(self, asked: list[int] | None) -> list[int] | None:
+        missing = set(asked or ()).difference(self.years) if self.years else ()
+        if missing:
+            raise Refused(400, f"no observations in {', '.join(map(str, sorted(missing)))}")
+        return asked
+
+    def _region(self, body: dict, years: list[int] | None) -> str:
+        """The request's name, or one that stands for its box and years."""
+        sides = [body.get(side) for side in ("west", "south", "east", "north")]
+        region = body.get("name")
+        if sides != [None] * 4:
+            box = self._box(sides)
+            region = region or aoi_name(box.west, box.south, box.east, box.north, tuple(years or self.years))
+        if isinstance(region, str) and re.match(NAME, region):
+            return region
+        raise Refused(400, f"a name of the form {NAME} is needed, or a box")
+
+    @staticmethod
+    def _box(sides: list) -> BBox:
+        try:
+            box = BBox(*map(float, sides))
+        except (TypeError, ValueError) as e:
+            raise Refused(400, f"the box can't be used: {e}") from e
+        wide, high = box.east - box.west, box.north - box.south
+        km2 = wide * high * KM_PER_DEGREE**2 * math.cos(math.radians(box.south + high / 2))
+        if km2 > MAX_AREA_KM2:
+            raise Refused(400, f"{km2:.0f} km² are too many: at most {MAX_AREA_KM2:.0f}")
+        return box
 
     def prewarm(self, regions: list[str]) -> list[str]:
         """Jobs for ``regions``, if there is no bundle yet."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrachron.operators.history import computed_once
+
 GRID_WIDTH, REGION_ROWS = 50, 20
 # Class by the index of the derived fixture; -1 is a gap and -2 a cloud.
 FIXTURE_CLASSES = {-1: 0, -2: 10, 0: 1, 1: 2, 2: 4, 3: 5, 4: 7, 5: 8, 6: 9}
@@ -35,7 +37,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, code in FIXTURE_CLASSES.items():
         src = F.when(F.col("ix") == i, code).otherwise(src)
     region = _floor(F.col("row") / REGION_ROWS)
-    return b.withColumn("ix", index).select(region.alias("region"), (F.col("row") - REGION_ROWS * region).alias("r"), "c", F.col("y").cast("int").alias("year"), src.alias("src"))
+    return computed_once(b.select("row", "c", "y", index.alias("ix"))).select(region.alias("region"), (F.col("row") - REGION_ROWS * region).alias("r"), "c", F.col("y").cast("int").alias("year"), src.alias("src"))
 
 
 def second_product(obs: DataFrame, years: tuple[int, ...] = (1998, 1999)) -> DataFrame:
@@ -100,18 +102,45 @@ def best_scene(wanted: DataFrame, catalogue: DataFrame, start: str, end: str, ma
 
 
 def evidence_pairs(hotspots: DataFrame, catalogue: DataFrame, year: str = "dominant_year", max_cloud: float = 20.0) -> DataFrame:
-    """Hotspots with the scenes before and after their year; each side has a fallback, and both sides are needed.
+    """``hotspots``, all of them, with the scenes ``before`` and ``after`` their year; both null unless both are found.
 
     Before: the first half of the year before, else from the year before that. After: the year after, else from July.
+    If both tables have a box (west, south, east, north), a scene must meet the hotspot's. Scenes and hotspots meet by
+    month and, with boxes, by square degree, in one equi-join; then the clearest is taken, the smallest id on a tie.
     """
-    y = F.col(year)
+    sides, y = ("west", "south", "east", "north"), F.col(year)
+    placed = all(s in t.columns for t in (hotspots, catalogue) for s in sides)
     day = lambda dy, m, d: F.make_date(y + dy, F.lit(m), F.lit(d))
     spans = {"b1": (day(-1, 1, 1), day(-1, 6, 30)), "b2": (day(-2, 1, 1), day(-1, 6, 30)), "a1": (day(1, 1, 1), day(1, 12, 31)), "a2": (day(0, 7, 1), day(1, 12, 31))}
-    keys = hotspots.select(y.alias("_year")).distinct()
-    out = hotspots
-    for name, (a, b) in spans.items():
-        one = best_scene(keys.withColumn(year, F.col("_year")).select("_year", a.alias("_from"), b.alias("_to")), catalogue, "_from", "_to", max_cloud)
-        out = out.join(one.select(F.col("_year").alias(year), F.col("scene_id").alias(name)), year, "left")
-    out = out.withColumns({"before": F.coalesce("b1", "b2"), "after": F.coalesce("a1", "a2")}).drop(*spans)
-    return out.where("before IS NOT NULL AND after IS NOT NULL")
 
+    def cells(df: DataFrame) -> DataFrame:
+        """A row for each square degree of the row's box."""
+        if not placed:
+            return df.withColumns({"_x": F.lit(0), "_y": F.lit(0)})
+        across = [F.explode(F.sequence(F.floor(a), F.greatest(F.floor(a), F.ceil(b) - 1))) for a, b in (("west", "east"), ("south", "north"))]
+        return df.withColumn("_x", across[0]).withColumn("_y", across[1])
+
+    key = ["region", "rank"]
+    asked = hotspots.select(*key, *(sides if placed else ()), F.explode(F.array(*(F.struct(F.lit(n).alias("span"), a.alias("start"), b.alias("stop")) for n, (a, b) in spans.items()))).alias("s")).select("*", "s.*").drop("s")
+    asked = cells(asked.withColumn("_month", F.explode(F.sequence("start", "stop", F.expr("interval 1 month")))))
+    shown = cells(catalogue.where(F.col("cloud") < max_cloud)).select(*(F.col(s).alias(f"_{s}") for s in sides if placed), "_x", "_y", "day", "cloud", "scene_id", F.trunc("day", "month").alias("_month"))
+    met = asked.join(shown, ["_month", "_x", "_y"]).where(F.col("day").between(F.col("start"), F.col("stop")))
+    if placed:
+        met = met.where("west < _east AND _west < east AND south < _north AND _south < north")
+    best = met.groupBy(*key).agg(*(F.min(F.when(F.col("span") == n, F.struct("cloud", "scene_id")))["scene_id"].alias(n) for n in spans))
+    best = best.select(*key, F.coalesce("b1", "b2").alias("before"), F.coalesce("a1", "a2").alias("after")).where("before IS NOT NULL AND after IS NOT NULL")
+    return hotspots.join(best, key, "left")
+
+
+def product_path(template: str, tile: str, year: int, years: tuple[int, ...]) -> str:
+    """Where a tile's raster of a year is: ``template`` with {tile} and {year}; only for ``years`` that the product has."""
+    if year not in years:
+        raise ValueError(f"the product has no year {year}: {min(years)} to {max(years)}")
+    return template.format(tile=tile, year=year)
+
+
+def stale(cached: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(region) of those whose cached pixels don't cover the wanted grid (region, h, w) exactly."""
+    have = cached.groupBy("region").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.count_distinct("r", "c").alias("n"))
+    same = wanted.join(have.where("n = h * w").drop("n"), ["region", "h", "w"], "left_semi")
+    return wanted.select("region").join(same.select("region"), "region", "left_anti")
