@@ -10,7 +10,7 @@ from terrachron.llm.mixing import mixed_documents
 from terrachron.llm.neardup import near_duplicates
 from terrachron.llm.pii import pseudonymise, session_key
 from terrachron.llm.quality import classify_quality
-from terrachron.llm.shared import settle, small
+from terrachron.llm.shared import columns_free, settle, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,12 +30,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows with a null id stay, all of them, as do null texts and texts without words of their own id; very long texts
     are compared whole. No rows give no rows; other columns pass through.
     """
-    gone = settle(near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
-    several = settle(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several")))
+    out, more = columns_free(docs, "gone", "several")
+    gone = settle(near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(out)).distinct())
+    left = docs.join(small(gone, gone.count()), F.col("doc_id") == F.col(out), "left_anti")
+    several = settle(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(more)))
     n = several.count()
     if n:
-        same = F.col("doc_id") == F.col("_several")
+        same = F.col("doc_id") == F.col(more)
         one = left.join(small(several, n), same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
         left = left.join(small(several, n), same, "left_anti").unionByName(one.select("row.*"))
     return left.select(*docs.columns)
