@@ -26,10 +26,10 @@ from terrachron.llm.shared import settle
 from terrachron.llm.textcore import as_text, chunks, words
 
 END = np.uint64(1)
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
 LOCAL_SHARE, GLOBAL_SHARE = 0.0002, 0.0001
-#: Bytes of text for each shard.
-SHARD_BYTES = 32 << 20
+#: Bytes of text for each shard, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 16
 WORD_BITS = 40
 _codec = pa.Codec("zstd", compression_level=1)
 
@@ -244,7 +244,10 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
     hot = frequent_words(docs, "text")
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    gathered = _gathered(docs, "doc_id", "text", "held_out", hot, max(4, -(-n_bytes // SHARD_BYTES)))
+    buckets = max(LEAST_SHARDS, -(-n_bytes // SHARD_BYTES))
+    # as many tasks as shards at least, so that no task's share grows with the input
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
+    gathered = _gathered(docs, "doc_id", "text", "held_out", hot, buckets)
 
     def tallied(group: pa.Table) -> pa.Table:
         kind, key = group.column("kind")[0].as_py(), group.column("key")[0].as_py()
@@ -252,7 +255,7 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             return group.select(["kind", "key"]).append_column("n", pa.nulls(len(group), pa.int64())).append_column("blob", group.column("blob"))
         return _tallied(key, group.column("blob").to_pylist(), hot)
 
-    table = settle(gathered.groupBy("key").applyInArrow(tallied, "kind string, key long, n long, blob binary"))
+    table = settle(gathered.repartition(tasks, "key").groupBy("key").applyInArrow(tallied, "kind string, key long, n long, blob binary"))
     stats = {(r.kind, r.key): r.n for r in table.where("n IS NOT NULL").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}  # at most 4 * 10001 + 10 sums
     hot_totals = [np.array([stats.pop((f"hot{k}", i), 0) for i in range(len(hot))], dtype=np.int64) for k in range(4)]
     seen = hot_totals[0]
@@ -289,4 +292,4 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         score = np.bincount(of, weights=arc[back], minlength=len(out))
         return pa.table({"doc_id": ids, "held_out": pa.array(out, pa.bool_()), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(out), w.n_train, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
-    return table.where("kind IN ('d', 's')").select("key", "kind", "blob").groupBy("key").applyInArrow(whole, schema)
+    return table.where("kind IN ('d', 's')").select("key", "kind", "blob").repartition(tasks, "key").groupBy("key").applyInArrow(whole, schema)
