@@ -64,12 +64,13 @@ def validate(engine: LandHistory, bundles: Bundles, second: DataFrame | None = N
         bundles.write(region, "validation.md", validation_text(text))
 
 
-def benchmark(engine: LandHistory, bundles: Bundles) -> None:
-    """One row for each region, all of them in one job."""
+def benchmark(engine: LandHistory, bundles: Bundles, asked: list[str]) -> list[str]:
+    """One row for each region, all of them in one job; returns the ``asked`` regions that have none."""
     rows = [r.asDict() for r in engine.benchmark().orderBy("region").toLocalIterator()]
     bundles.root.mkdir(parents=True, exist_ok=True)
     (bundles.root / "benchmark.json").write_text(json.dumps(rows, indent=2))
     (bundles.root / "benchmark.md").write_text(benchmark_table(rows))
+    return sorted(set(asked) - {str(r["region"]) for r in rows})
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -84,6 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--images", action="store_true", help="write GeoTIFF and PNG tiles too")
     ap.add_argument("--block-px", type=int, default=25)
     ap.add_argument("--port", type=int, default=8000)
+    ap.add_argument("--prewarm", nargs="+", default=[], help="regions to analyse when the service starts without bundles")
     ap.add_argument("--force", action="store_true")
     a = ap.parse_args(argv)
     files = [load_region(r) for r in a.region or [] if r.endswith((".yaml", ".yml"))]
@@ -101,7 +103,9 @@ def main(argv: list[str] | None = None) -> int:
                 raise ValueError(f"no observations of region {region}")
             run(engine, bundles, a.images, scenes)
 
-        serve(Service(bundles, analyse), a.port)
+        service = Service(bundles, analyse)
+        service.prewarm(a.prewarm)
+        serve(service, a.port)
         return 0
     engine = LandHistory(observed(spark, a.observations, regions, years), params)
     mark = fingerprint({"command": a.command, "input": a.observations, "regions": regions, "second": a.second, "scenes": a.scenes, "images": a.images, "data": [data_mark(spark.read.parquet(x)) for x in (a.observations, a.second, a.scenes) if x], "years": engine.years, "params": repr(engine.params)})
@@ -111,7 +115,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "run":
         run(engine, bundles, a.images, scenes)
     elif a.command == "benchmark":
-        benchmark(engine, bundles)
+        if missing := benchmark(engine, bundles, regions):
+            logging.getLogger(__name__).error("no observations of regions %s", ", ".join(missing))
+            return 1
     else:
         validate(engine, bundles, observed(spark, a.second, regions) if a.second else None)
     seen.parent.mkdir(parents=True, exist_ok=True)

@@ -131,6 +131,17 @@ def target_grid(boxes: DataFrame, res: float = 10.0) -> DataFrame:
     return boxes.select(*keep, down("x0").cast("double").alias("x0"), up("y1").cast("double").alias("y1"), F.round((up("x1") - down("x0")) / res).cast("int").alias("width"), F.round((up("y1") - down("y0")) / res).cast("int").alias("height"))
 
 
+def utm_box(boxes: DataFrame) -> DataFrame:
+    """Projected bounds (x0, y0, x1, y1, zone) of boxes in the zone of their centre: the extremes of corners and sides' middles."""
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    zone = utm_zone(mid("west", "east"))
+    lons, lats = (F.col("west"), mid("west", "east"), F.col("east")), (F.col("south"), mid("south", "north"), F.col("north"))
+    at = [to_utm(x, y, zone) for i, x in enumerate(lons) for j, y in enumerate(lats) if (i, j) != (1, 1)]
+    xs, ys = zip(*at)
+    keep = [F.col(c) for c in boxes.columns if c not in ("west", "south", "east", "north")]
+    return boxes.select(*keep, zone.alias("zone"), F.least(*xs).alias("x0"), F.least(*ys).alias("y0"), F.greatest(*xs).alias("x1"), F.greatest(*ys).alias("y1"))
+
+
 def overlay_grid(h: Column, w: Column, most: int = MAX_OVERLAY_PX) -> tuple[Column, Column]:
     """Height and width of an overlay: at most ``most`` pixels, in proportion, halves rounded to even."""
     scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(h, w))
@@ -155,5 +166,11 @@ def aoi_name(west: float, south: float, east: float, north: float, years: tuple[
     return "aoi_" + uuid.uuid5(uuid.NAMESPACE_URL, f"{west:.4f},{south:.4f},{east:.4f},{north:.4f},{years}").hex[:10]
 
 
+def aoi_names(west: Column, south: Column, east: Column, north: Column, years: tuple[int, ...]) -> Column:
+    """``aoi_name`` as an expression: its digits come before those that a UUID's version replaces."""
+    name = F.format_string(f"%.4f,%.4f,%.4f,%.4f,{years}", west, south, east, north)
+    return F.concat(F.lit("aoi_"), F.substring(F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8"))), 1, 10))
+
+
 def fingerprint(values: dict) -> str:
     return hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()[:16]

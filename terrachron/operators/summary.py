@@ -86,6 +86,13 @@ def tiers(pixel: DataFrame) -> DataFrame:
     return out.withColumns({f"{TIERS[k]}_pct": F.col(TIERS[k]) * 100 / F.greatest(F.col("events"), F.lit(1)) for k in (1, 2, 3)})
 
 
+def tier_percentages(tiers: DataFrame) -> DataFrame:
+    """(region, tier, pct_floor, pct_round, pct_tenth) of :func:`tiers`: whole percentages cut or rounded, and with one place."""
+    rows = tiers.select("region", "events", F.explode(F.array(*(F.struct(F.lit(TIERS[k]).alias("tier"), F.col(TIERS[k]).alias("n")) for k in (1, 2, 3)))).alias("t")).where("events > 0")
+    pct = F.col("t.n") * 100 / F.col("events")
+    return rows.select("region", "t.tier", F.floor(pct).alias("pct_floor"), F.floor(pct + 0.5).alias("pct_round"), (F.floor(pct * 10 + 0.5) / 10).alias("pct_tenth"))
+
+
 def event_fraction(pixel: DataFrame, t: int) -> DataFrame:
     """Events, the pixels that the first and last years observe, and their ratio."""
     out = pixel.groupBy("region").agg(F.count_if("event").alias("events"), F.count_if((F.col("s0") != 0) & (F.col(f"s{t - 1}") != 0)).alias("pixels"))

@@ -20,6 +20,8 @@ from terrachron.sources import observations as source
 PARAMS = Params(block_px=10)
 CHECK_YEAR = 1999
 FIXTURE_TILE = 16
+PRODUCT_YEARS = (2017, 2018, 2019)
+PATH_TEMPLATE = "products/{tile}/{tile}_{year}.tif"
 
 
 def engine(spark: SparkSession, d: str) -> LandHistory:
@@ -134,6 +136,33 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
     return blocks.clusters(engine(spark, d).features, PARAMS)
 
 
+def _box_of(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that aren't wider than their zone and keep off the poles, for projections."""
+    return boxes(spark, d).withColumns({"east": F.least("east", F.col("west") + 4.0), "north": F.least("north", F.lit(80.0))})
+
+
+def _projected(spark: SparkSession, d: str) -> DataFrame:
+    return geo.utm_box(_box_of(spark, d)).select("id", "zone", *(F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    tiles = points(spark, d).select(geo.tile_id(F.col("lon"), F.col("lat")).alias("tile")).distinct()
+    wanted = tiles.select("tile", F.explode(F.array(*map(F.lit, PRODUCT_YEARS))).alias("year"))
+    return source.product_paths(wanted, PATH_TEMPLATE, PRODUCT_YEARS)
+
+
+def _stale(spark: SparkSession, d: str) -> DataFrame:
+    """Regions whose first year lacks pixels in a cache that lost row 3 of every second region."""
+    e = engine(spark, d)
+    cached = e.observations.where((F.col("year") == e.years[0]) & ~((F.col("region") % 2 == 1) & (F.col("r") == 3)))
+    return source.stale(cached, e.grid)
+
+
+def _single(spark: SparkSession, d: str) -> DataFrame:
+    lon, lat = F.col("lon").alias, F.col("lat").alias
+    return geo.single_tile(points(spark, d).select("id", lon("west"), lat("south"), lon("east"), lat("north"))).select("id", "tile")
+
+
 KEY = ["region", "r", "c"]
 
 
@@ -158,8 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mosaic_first_nonzero": _mosaic,
         "resample_nearest": _resampled,
         "wc_tiles": at(lambda b: geo.degree_tiles(b).select("id", "tile"), boxes),
+        "product_paths": _paths,
+        "stale_regions": _stale,
         "best_scene": _best_scene,
         "evidence_pairs": _evidence,
+        "first_evidence": lambda s, d: _evidence(s, d).where("rank <= 3"),
         "raster_layers": on(lambda e: layers(e.pixels)),
         "raster_tiles": on(lambda e: tile_totals(raster_tiles(layers(e.pixels), FIXTURE_TILE))),
         "overlay_colors": _colours,
@@ -174,6 +206,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lat_band": at(lambda p: p.select("id", geo.lat_band(lat("lat")).alias("band")), points),
         "tile_id": at(lambda p: p.select("id", geo.tile_id(lon("lon"), lat("lat")).alias("tile")), points),
         "tiles_for_bbox": at(lambda b: geo.tiles_for_bbox(b).select("id", "tile", "seq"), boxes),
+        "single_tile": _single,
+        "projected_boxes": _projected,
+        "aoi_names": at(lambda b: b.select("id", geo.aoi_names(*map(F.col, (west, south, east, north)), PRODUCT_YEARS).alias("name")), boxes),
+        "hotspot_places": on(lambda e: blocks.located(e.hotspots, 500000.0, 4100000.0, 33).select("region", "rank", "lon", "lat")),
         "tile_ranges": _tile_ranges,
         "bbox_intersect": _clipped,
         "epsg_code": at(lambda p: p.select("id", geo.epsg(lon("lon"), lat("lat")).alias("epsg")), points),
@@ -219,6 +255,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confidence_scores": on(lambda e: e.scored.where("event").select(*KEY, F.round("score", 9).alias("score"))),
         "confidence_tiers": on(lambda e: e.scored.select(*KEY, "tier")),
         "tier_summary": on(lambda e: summary.tiers(e.scored)),
+        "tier_percentages": on(lambda e: summary.tier_percentages(summary.tiers(e.scored))),
         "event_fraction": on(lambda e: summary.event_fraction(e.facts, last + 1)),
         "change_fractions": on(lambda e: summary.change_fractions(e.pixels, last + 1)),
         "block_features": on(lambda e: e.features),

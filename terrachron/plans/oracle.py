@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from terrachron.functions.dims import ARCHETYPES, CLASS_TO_STATE, SECOND_TO_STATE, STATES
-from terrachron.functions.geo import BANDS
+from terrachron.functions.geo import A, BANDS, FLAT, K0
 
 P, MIN_OBSERVED, BLOCK, SPOTS = 2, 4, 10, 5
 KEY = "region, r, c"
@@ -136,6 +138,42 @@ hs AS (SELECT region, br, bc, CAST(rank AS INT) AS rank, {BLOCK * 10} block_m, c
   CAST(br * {BLOCK} + {BLOCK / 2} AS DOUBLE) AS row, CAST(bc * {BLOCK} + {BLOCK / 2} AS DOUBLE) AS col FROM hr JOIN hp USING (region, br, bc) JOIN hy USING (region, br, bc) WHERE rank <= {SPOTS} AND change_fraction > 0)"""
 
 
+def number(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+E2 = FLAT * (2 - FLAT)
+EP2 = E2 / (1 - E2)
+E1 = (1 - (1 - E2) ** 0.5) / (1 + (1 - E2) ** 0.5)
+# The series of the meridian's arc and of the latitude at its foot.
+ARC = (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256, -(3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024), 15 * E2**2 / 256 + 45 * E2**3 / 1024, -35 * E2**3 / 3072)
+FOOT = (3 * E1 / 2 - 27 * E1**3 / 32, 21 * E1**2 / 16 - 55 * E1**4 / 32, 151 * E1**3 / 96, 1097 * E1**4 / 512)
+
+
+def projected(name: str, source: str) -> str:
+    """CTE ``name``: ``source`` (lon, lat, zone) with the grid's x and y."""
+    arc = " + ".join(f"{number(a)} * {f'sin({2 * j} * f)' if j else 'f'}" for j, a in enumerate(ARC))
+    return f"""
+{name}0 AS (SELECT *, radians(lat) AS f FROM {source}),
+{name}1 AS (SELECT *, {number(A)} / sqrt(1 - {number(E2)} * sin(f) ** 2) AS n, tan(f) ** 2 AS t, {number(EP2)} * cos(f) ** 2 AS c, cos(f) * radians(lon - (zone * 6 - 183)) AS a, {number(A)} * ({arc}) AS m FROM {name}0),
+{name} AS (SELECT * EXCLUDE (f, n, t, c, a, m),
+  {number(K0)} * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - {number(58 * EP2)}) * a ** 5 / 120) + 500000 AS x,
+  {number(K0)} * (m + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - {number(330 * EP2)}) * a ** 6 / 720)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END AS y FROM {name}1)"""
+
+
+def unprojected(name: str, source: str) -> str:
+    """CTE ``name``: ``source`` (x, y, zone, north) with lon and lat."""
+    foot = " + ".join(f"{number(a)} * sin({2 * j} * mu)" for j, a in enumerate(FOOT, 1))
+    return f"""
+{name}0 AS (SELECT *, (y - CASE WHEN north THEN 0 ELSE 10000000 END) / {number(K0 * A * ARC[0])} AS mu FROM {source}),
+{name}1 AS (SELECT *, mu + {foot} AS p FROM {name}0),
+{name}2 AS (SELECT *, {number(EP2)} * cos(p) ** 2 AS c, tan(p) ** 2 AS t, {number(A)} / sqrt(1 - {number(E2)} * sin(p) ** 2) AS n, {number(A * (1 - E2))} / (1 - {number(E2)} * sin(p) ** 2) ** CAST(1.5 AS DOUBLE) AS ra FROM {name}1),
+{name}3 AS (SELECT *, (x - 500000) / (n * {number(K0)}) AS d FROM {name}2),
+{name} AS (SELECT * EXCLUDE (mu, p, c, t, n, ra, d),
+  degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + {number(8 * EP2)} + 24 * t * t) * d ** 5 / 120) / cos(p)) + (zone * 6 - 183) AS to_lon,
+  degrees(p - n * tan(p) / ra * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - {number(9 * EP2)}) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - {number(252 * EP2)} - 3 * c * c) * d ** 6 / 720)) AS to_lat FROM {name}3)"""
+
+
 def q(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()} {select}"
 
@@ -241,6 +279,18 @@ b1 AS (SELECT region, (max(r) + 1) * (max(c) + 1) * 100 / 1000000 AS area_km2, c
 b2 AS (SELECT region, coalesce(sum(pixels) FILTER (WHERE from_state <> to_state), 0) / sum(pixels) AS raw_fraction FROM tm GROUP BY 1),
 b3 AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(delta) DESC, state) k FROM de)
 SELECT b1.*, raw_fraction, name AS biggest_delta_state, delta AS biggest_delta, y AS peak_year FROM b1 LEFT JOIN b2 USING (region) LEFT JOIN (SELECT * FROM b3 WHERE k = 1) USING (region) LEFT JOIN pk USING (region)"""),
+    "product_paths": q(POINTS, f", t AS (SELECT DISTINCT {TILE} AS tile FROM p) SELECT tile, year, 'products/' || tile || '/' || tile || '_' || year || '.tif' AS path FROM t CROSS JOIN (VALUES (2017), (2018), (2019)) AS k(year)"),
+    "stale_regions": q(OBS, ", k AS (SELECT region, max(r) + 1 AS h, max(c) + 1 AS w FROM obs GROUP BY 1), m AS (SELECT region, max(r) + 1 AS h, max(c) + 1 AS w, count(*) AS n FROM obs WHERE year = 1995 AND NOT (region % 2 = 1 AND r = 3) GROUP BY 1) SELECT region FROM k LEFT JOIN m USING (region, h, w) WHERE n IS NULL OR n <> h * w"),
+    "single_tile": q(POINTS, f"SELECT id, {TILE} AS tile FROM p"),
+    "aoi_names": q(BOXES, f"SELECT id, 'aoi_' || substr(sha1(unhex('{uuid.NAMESPACE_URL.hex}') || encode(printf('%.4f,%.4f,%.4f,%.4f,(2017, 2018, 2019)', west, south, east, north))), 1, 10) AS name FROM bx"),
+    "utm_round_trip": q(POINTS, f", z AS (SELECT *, {ZONE.format('lon')} AS zone FROM p), {projected('u', 'z')}, w AS (SELECT *, lat >= 0 AS north FROM u), {unprojected('v', 'w')} SELECT id, zone, round(x, 3) AS x, round(y, 3) AS y, round(to_lon, 6) AS lon, round(to_lat, 6) AS lat FROM v"),
+    "projected_boxes": q(BOXES, f", z AS (SELECT id, west, south, least(east, west + 4) AS east, least(north, 80) AS north FROM bx), k AS (SELECT *, {ZONE.format('((west + east) / 2)')} AS zone FROM z),"
+        " g AS (SELECT id, zone, west + (east - west) * i / 2 AS lon, south + (north - south) * j / 2 AS lat FROM k CROSS JOIN range(3) AS gi(i) CROSS JOIN range(3) AS gj(j) WHERE i <> 1 OR j <> 1), "
+        + projected("u", "g") + " SELECT id, any_value(zone) AS zone, round(min(x), 3) AS x0, round(min(y), 3) AS y0, round(max(x), 3) AS x1, round(max(y), 3) AS y1 FROM u GROUP BY id"),
+    "hotspot_places": q(SC + HOT, ', w AS (SELECT region, rank, 500000 + "col" * 10 AS x, 4100000 - "row" * 10 AS y, 33 AS zone, true AS north FROM hs), ' + unprojected("v", "w") + " SELECT region, rank, round(to_lon, 6) AS lon, round(to_lat, 6) AS lat FROM v"),
+    "tier_percentages": q(SC, ", x AS (SELECT region, tier, count(*) AS k FROM sc WHERE event GROUP BY ALL), ne AS (SELECT region, sum(k) AS events FROM x GROUP BY 1), kinds(tier, name) AS (VALUES (1, 'low'), (2, 'medium'), (3, 'high')), y AS (SELECT region, name, coalesce(k, 0) * 100 / events AS pct FROM ne CROSS JOIN kinds LEFT JOIN x USING (region, tier))"
+        " SELECT region, name AS tier, CAST(floor(pct) AS BIGINT) AS pct_floor, CAST(floor(pct + CAST(0.5 AS DOUBLE)) AS BIGINT) AS pct_round, floor(pct * 10 + CAST(0.5 AS DOUBLE)) / 10 AS pct_tenth FROM y"),
     "state_names": q(ST + ", " + NAMES, "SELECT DISTINCT s AS state, coalesce(name, 'nodata') AS name FROM st LEFT JOIN names ON s = state"),
     "flagship": q(SC, "SELECT from_state, to_state, yoc, archetype, tier, count(*) AS pixels FROM sc WHERE event GROUP BY ALL"),
 }
+SQL["first_evidence"] = f"SELECT * FROM ({SQL['evidence_pairs']}) WHERE rank <= 3"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _rows(df: DataFrame, name: str, *order: str, columns: list[str] | None = Non
 
 
 def summaries(engine: LandHistory, top: int = 10) -> DataFrame:
-    """(region, summary): JSON with years, area, shares, transitions, volumes, archetypes, signatures, anomalies, confidence, hotspots."""
+    """(region, summary): JSON with years, area, grid, parameters, shares, transitions, volumes, archetypes, signatures, anomalies, confidence, hotspots."""
     p, last = engine.params, len(engine.years) - 1
     r4 = lambda c: F.bround(F.col(c), 4).alias(c)
     parts = [
@@ -36,9 +37,12 @@ def summaries(engine: LandHistory, top: int = 10) -> DataFrame:
     ]
     tiers = summary.tiers(engine.scored).select("region", F.struct("low", "medium", "high").alias("tier_counts"))
     change = summary.change_fractions(engine.pixels, last + 1).select("region", F.struct(r4("event_fraction"), F.bround("anomaly_fraction", 5).alias("anomaly_fraction"), F.bround("mean_score", 3).alias("mean_score")).alias("change"))
+    raw = states.raw_change(engine.transitions).select("region", r4("fraction")).withColumnRenamed("fraction", "raw_change_fraction")
+    still = summary.stable_changed(engine.facts, p).select("region", F.bround("stable", 4).alias("stable_fraction"), F.bround("changed", 4).alias("changed_fraction"))
     peak = summary.peak(engine.volumes).select("region", F.array("start", "stop").alias("peak_change_period"))
-    out = engine.grid.select("region", F.bround(F.col("h") * F.col("w") * 100 / 1e6, 1).alias("area_km2"), F.array(*map(F.lit, engine.years)).alias("years"))
-    for part in (*parts, tiers, change, peak):
+    settings = F.struct(*((F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)).alias(k) for k, v in asdict(p).items()))
+    out = engine.grid.select("region", F.bround(F.col("h") * F.col("w") * 100 / 1e6, 1).alias("area_km2"), F.struct(F.col("h").alias("height"), F.col("w").alias("width")).alias("grid"), F.array(*map(F.lit, engine.years)).alias("years"), settings.alias("params"))
+    for part in (*parts, tiers, change, raw, still, peak):
         out = out.join(part, "region", "left")
     return out.select("region", F.to_json(F.struct(*out.columns)).alias("summary"))
 

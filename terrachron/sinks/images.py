@@ -120,7 +120,7 @@ def raster_tiles(layered: DataFrame, size: int = TILE, places: DataFrame | None
 def overlays(pixels: DataFrame, years: list[int]) -> tuple[DataFrame, dict[str, dict[str, str]]]:
     """(region, r, c, a palette position for each overlay) and the legends, label to colour, in the order of the positions."""
     state = {STATES[k]: c for k, c in STATE_COLOURS.items()}
-    when = {str(y): YEAR_COLOURS[round(k * (len(YEAR_COLOURS) - 1) / max(1, len(years) - 1))] for k, y in enumerate(years)}
+    when = {str(y): YEAR_COLOURS[round((y - years[0]) * (len(YEAR_COLOURS) - 1) / max(1, years[-1] - years[0]))] for y in years}
     legends = {f"states_{y}": state for y in years} | {"change": state, "year_of_change": when, "confidence": dict(zip(("low", "medium", "high"), TIER_COLOURS)), "anomalies": {"rare history": ANOMALY_COLOURS[0]}}
     event = F.col("event")
     position = F.when(event, F.array_position(F.array(*map(F.lit, years)), F.col("yoc")).cast("int")).otherwise(0)

@@ -139,6 +139,13 @@ def product_path(template: str, tile: str, year: int, years: tuple[int, ...]) ->
     return template.format(tile=tile, year=year)
 
 
+def product_paths(wanted: DataFrame, template: str, years: tuple[int, ...]) -> DataFrame:
+    """``wanted`` (tile, year) with the ``path`` of each raster, as :func:`product_path` gives it; fails on a year that the product lacks."""
+    known = F.when(F.col("year").isin(*years), F.col("year")).otherwise(F.raise_error(F.concat(F.lit("the product has no year "), F.col("year").cast("string"))).cast("int"))
+    path = F.replace(F.replace(F.lit(template), F.lit("{tile}"), F.col("tile")), F.lit("{year}"), known.cast("string"))
+    return wanted.withColumn("path", path)
+
+
 def stale(cached: DataFrame, wanted: DataFrame) -> DataFrame:
     """(region) of those whose cached pixels don't cover the wanted grid (region, h, w) exactly."""
     have = cached.groupBy("region").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.count_distinct("r", "c").alias("n"))

@@ -99,7 +99,7 @@ def test_config_validation():
     assert geo.aoi_name(1, 2, 3, 4, (2017, 2018)) == geo.aoi_name(1, 2, 3, 4, (2017, 2018)) != geo.aoi_name(1, 2, 3, 5, (2017, 2018))
 
 
-FAST = ["fraction_trends", "transition_matrix", "change_events", "archetypes", "rare_signatures", "confidence_tiers", "hotspots", "block_features", "holdout_rates", "mosaic_first_nonzero", "tiles_for_bbox"]
+FAST = ["fraction_trends", "transition_matrix", "change_events", "archetypes", "rare_signatures", "confidence_tiers", "hotspots", "block_features", "holdout_rates", "mosaic_first_nonzero", "tiles_for_bbox", "utm_round_trip", "projected_boxes", "hotspot_places", "tier_percentages", "stale_regions", "product_paths", "single_tile", "aoi_names", "first_evidence"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -121,3 +121,31 @@ def test_state_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "o")).where(state_is(F.col("src"), 2)).select("r")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(src" in plan and "year" not in plan.split("ReadSchema")[1]
+
+
+def test_names_and_paths_as_expressions(spark):
+    row = spark.range(1).select(geo.aoi_names(*map(F.lit, (1.0, 2.0, 3.0, 4.0)), (2017, 2018)).alias("name")).first()
+    assert row.name == geo.aoi_name(1, 2, 3, 4, (2017, 2018))
+    tiles = spark.createDataFrame([("33N", 2017), ("33N", 2016)], "tile string, year int")
+    paths = source.product_paths(tiles.where("year = 2017"), "a/{tile}/{year}", (2017,))
+    assert paths.first().path == source.product_path("a/{tile}/{year}", "33N", 2017, (2017,)) == "a/33N/2017"
+    with pytest.raises(Exception, match="no year 2016"):
+        source.product_paths(tiles, "a/{tile}/{year}", (2017,)).collect()
+    with pytest.raises(Exception, match="several tiles"):
+        geo.single_tile(spark.createDataFrame([(0.0, 1.0, 13.0, 2.0)], "west double, south double, east double, north double")).collect()
+
+
+def test_benchmark_reports_missing_regions(spark, tmp_path):
+    from terrachron.cli import main
+
+    grid(spark, 8, True).write.parquet(str(tmp_path / "o"))
+    args = ["benchmark", str(tmp_path / "o"), str(tmp_path / "out"), "--block-px", "4", "--region"]
+    assert main([*args, "0"]) == 0
+    assert main([*args, "0", "--region", "7"]) == 1
+    assert json.loads((tmp_path / "out" / "benchmark.json").read_text())[0]["region"] == 0
+
+
+def test_summary_names_grid_and_parameters(spark):
+    s = json.loads(summaries(LandHistory(grid(spark, 8, True), Params(block_px=4))).first().summary)
+    assert s["grid"] == {"height": 8, "width": 8} and s["params"]["block_px"] == 4
+    assert s["raw_change_fraction"] == s["changed_fraction"] == 0.5 and s["stable_fraction"] == 0.5
