@@ -362,6 +362,21 @@ def test_parameters_changed(spark):
     assert want >= {0, 1, 2, 3} and {r.doc_id for r in contaminated_documents(docs, bench).collect()} == want
 
 
+def test_shared_windows(spark):
+    """A phrase of an item that a document repeats covers once; items that share an opening, or differ in values, are told apart."""
+    opening = "answer the following multiple choice question and give reasons for it"
+    items = [(k, f"{opening} which {chr(97 + k) * 4} would a {chr(97 + k) * 5} then prefer over some {chr(97 + k) * 6} in the middle of summer") for k in range(20)]
+    sums = [(100 + k, f"how many apples does the farmer keep if {k + 3} of {k + 30} are sold before noon") for k in range(50)]
+    bench = spark.createDataFrame(items + sums + sums[:5], "item_id long, text string")
+    phrase = " ".join(opening.split()[:8])
+    texts = [" and then ".join([phrase] * 30), *(f"so {t} end" for _, t in items[:3]), "so " + sums[7][1] + " end", opening]
+    docs = spark.createDataFrame([*enumerate(texts), (4, "other rows of one id"), (None, texts[1])], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.coverage, r.n_items) for r in contaminated_documents(docs, bench).collect()}
+    # all sums have one template; which of them is named is decided by a hash
+    assert got.pop(4)[1:] == (1.0, 50)
+    assert got == {None: (0, 1.0, 1), 1: (0, 1.0, 1), 2: (1, 1.0, 1), 3: (2, 1.0, 1)}
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/7?x", None), (2, "https://www.example.com/en/1", None), (3, None, None), (4, "no scheme", ""), (5, "http://q.example/x", "<link href='http://b.com/en/z' rel=canonical>"), (6, "http://q.example/x#f", None), (7, "http://r.example/y", "<meta http-equiv=refresh content='0; url=http://q.example/x'>"), (8, "http://b.com/en/z", None), (9, "http://s.example/", None), (9, "http://s.example/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"verdict": F.lit("own"), "node": F.lit("own"), "alias": F.lit("own")})
