@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions.dims import Params, load_region
 from terrachron.functions.geo import fingerprint
-from terrachron.plans.engine import LandHistory, layers
+from terrachron.plans.engine import LandHistory, layers, tuned
 from terrachron.plans.report import benchmark_table, evidences, story, summaries, validation_text, validations
 from terrachron.sinks.bundles import Bundles
 from terrachron.sinks.images import overlay_tiles, overlays, raster_tiles
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     files = [load_region(r) for r in a.region or [] if r.endswith((".yaml", ".yml"))]
     regions = [r for r in a.region or [] if not r.endswith((".yaml", ".yml"))] + [f.name for f in files]
     years = a.years or sorted({y for f in files for y in f.years}) or None
-    spark = SparkSession.builder.appName("terrachron").getOrCreate()
+    spark = tuned(SparkSession.builder.appName("terrachron").getOrCreate())
     bundles, params = Bundles(a.output), Params(block_px=a.block_px)
     scenes = spark.read.parquet(a.scenes) if a.scenes else None
     if a.command == "serve":

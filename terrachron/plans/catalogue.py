@@ -11,7 +11,7 @@ from terrachron.functions import geo
 from terrachron.functions.dims import SECOND_TO_STATE, STATE_COLOURS, STATES, Params
 from terrachron.functions.pixel import name_of, stable_change, state_is
 from terrachron.operators import blocks, history, states, summary, validation
-from terrachron.plans.engine import LandHistory, layers
+from terrachron.plans.engine import LandHistory, layers, tuned
 from terrachron.plans.oracle import SQL
 from terrachron.plans.report import summaries
 from terrachron.sinks.images import raster_tiles, tile_totals
@@ -25,7 +25,7 @@ PATH_TEMPLATE = "products/{tile}/{tile}_{year}.tif"
 
 
 def engine(spark: SparkSession, d: str) -> LandHistory:
-    return LandHistory(source.derived(spark, d), PARAMS)
+    return LandHistory(source.derived(tuned(spark), d), PARAMS)
 
 
 def second(spark: SparkSession, d: str) -> DataFrame:

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions.dims import SECOND_TO_STATE, Params
 from terrachron.operators import blocks, history, states, summary, validation
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with stages split where generated methods would exceed 8000 bytes, which the JVM never compiles.
+
+    The unrolled sequence facts do, and run several times slower as one stage; a limit that was set before is kept.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name, "65535") == "65535":
+        spark.conf.set(name, "8000")
+    return spark
+
+
 class LandHistory:
     """Results of an observation table (region, r, c, year, src); each is a DataFrame, built when it is asked for.
 
@@ -42,7 +53,7 @@ class LandHistory:
 
     @cached_property
     def grid(self) -> DataFrame:
-        return history.extent(self.wide)
+        return history.extent(self.observations)
 
     @cached_property
     def facts(self) -> DataFrame:
