@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrachron.functions.dims import STATES
@@ -58,8 +58,19 @@ def relative(events: DataFrame, base: DataFrame, by: list[str], least: int = 50,
 
 
 def quartiles(events: DataFrame) -> DataFrame:
-    """(region, events, q1, q2, q3): exact quartiles of the score, interpolated."""
-    return events.groupBy("region").agg(F.count("*").alias("events"), F.percentile("score", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select("region", "events", *(F.col("q")[k].alias(f"q{k + 1}") for k in range(3)))
+    """(region, events, q1, q2, q3): exact quartiles of the score from its histogram, interpolated as low + (high - low) * part.
+
+    That is SQL's ``quantile_cont`` to the last bit. Other forms of the sum round otherwise, and between two scores that
+    differ in their last bit only this moves an edge from one to the other, with all events that have that score.
+    """
+    by = Window.partitionBy("region")
+    rows = events.groupBy("region", "score").agg(F.count("*").alias("n"))
+    rows = rows.withColumns({"upto": F.sum("n").over(by.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "events": F.sum("n").over(by)})
+    at = {f"q{k}": (F.col("events") - 1) * (k / 4) for k in (1, 2, 3)}
+    reached = lambda i: F.min(F.when(F.col("upto") > i, F.col("score")))
+    ends = [reached(f(x)).alias(f"{q}_{f.__name__}") for q, x in at.items() for f in (F.floor, F.ceil)]
+    low, high = (lambda q: F.col(f"{q}_floor")), (lambda q: F.col(f"{q}_ceil"))
+    return rows.groupBy("region", "events").agg(*ends).select("region", "events", *((low(q) + (high(q) - low(q)) * (x - F.floor(x))).alias(q) for q, x in at.items()))
 
 
 def binned(events: DataFrame, edges: DataFrame, least: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions import geo
 from terrachron.functions.dims import BBox, Params, Region
-from terrachron.operators import blocks
+from terrachron.operators import blocks, validation
 from terrachron.plans import catalogue
 from terrachron.plans.engine import LandHistory
 from terrachron.plans.report import benchmark_table, story, summaries
@@ -149,3 +149,17 @@ def test_summary_names_grid_and_parameters(spark):
     s = json.loads(summaries(LandHistory(grid(spark, 8, True), Params(block_px=4))).first().summary)
     assert s["grid"] == {"height": 8, "width": 8} and s["params"]["block_px"] == 4
     assert s["raw_change_fraction"] == s["changed_fraction"] == 0.5 and s["stable_fraction"] == 0.5
+
+
+def test_quartiles_between_scores_that_differ_in_the_last_bit(spark):
+    low, high = 0.9249999999999999, 0.925
+    rows = [(k, x) for k, counts in enumerate(((0, 1, 1), (0, 3, 1), (1, 5, 2), (2, 7, 3), (4, 0, 0))) for x, n in zip((0.1, low, high), counts) for _ in range(n)] + [(5, 0.3)]
+    df = spark.createDataFrame(rows, "region int, score double")
+    got = {r.region: tuple(r)[1:] for r in validation.quartiles(df).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (region INT, score DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = con.execute("SELECT region, count(*), quantile_cont(score, 0.25), quantile_cont(score, 0.5), quantile_cont(score, 0.75) FROM t GROUP BY 1").fetchall()
+    assert got == {r[0]: r[1:] for r in want}
+    bins = validation.binned(df, validation.quartiles(df), 1).groupBy("region", "bin").count().collect()
+    assert {(r.region, r.bin, r["count"]) for r in bins} == set(con.execute("SELECT region, CASE WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 WHEN score <= q3 THEN 3 ELSE 4 END b, count(*) FROM t JOIN (SELECT region, quantile_cont(score, 0.25) q1, quantile_cont(score, 0.5) q2, quantile_cont(score, 0.75) q3 FROM t GROUP BY 1) USING (region) GROUP BY 1, 2").fetchall())
