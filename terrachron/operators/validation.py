@@ -57,20 +57,28 @@ def relative(events: DataFrame, base: DataFrame, by: list[str], least: int = 50,
     return out.select(*by, "events", "evaluated", (F.col("equal") / F.col("evaluated")).alias("agreement"), F.round(F.col("expected") / F.col("evaluated"), 6).alias("baseline"), F.round(F.col("equal") / F.col("expected"), 6).alias("ratio"))
 
 
+def between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part for quarters, where the first product isn't rounded, as in SQL's ``quantile_cont`` (a fused multiplication)."""
+    x, y = low * (1 - part), high * part
+    lost = F.when(part == 0.25, low * 0.25 - (x - low * 0.5)).otherwise(0.0)  # by the first product; others are exact
+    t = x + y
+    z = t - x
+    return t + (lost + ((x - (t - z)) + (y - z)))
+
+
 def quartiles(events: DataFrame) -> DataFrame:
-    """(region, events, q1, q2, q3): exact quartiles of the score from its histogram, interpolated as low + (high - low) * part.
+    """(region, events, q1, q2, q3): exact quartiles of the score from its histogram, interpolated as SQL does to the last bit.
 
-    That is SQL's ``quantile_cont`` to the last bit. Other forms of the sum round otherwise, and between two scores that
-    differ in their last bit only this moves an edge from one to the other, with all events that have that score.
+    Between two scores that differ in their last bit only, another rounding moves an edge from one to the other, with
+    all events that have that score.
     """
     by = Window.partitionBy("region")
     rows = events.groupBy("region", "score").agg(F.count("*").alias("n"))
     rows = rows.withColumns({"upto": F.sum("n").over(by.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "events": F.sum("n").over(by)})
     at = {f"q{k}": (F.col("events") - 1) * (k / 4) for k in (1, 2, 3)}
     reached = lambda i: F.min(F.when(F.col("upto") > i, F.col("score")))
-    ends = [reached(f(x)).alias(f"{q}_{f.__name__}") for q, x in at.items() for f in (F.floor, F.ceil)]
-    low, high = (lambda q: F.col(f"{q}_floor")), (lambda q: F.col(f"{q}_ceil"))
-    return rows.groupBy("region", "events").agg(*ends).select("region", "events", *((low(q) + (high(q) - low(q)) * (x - F.floor(x))).alias(q) for q, x in at.items()))
+    rows = rows.groupBy("region", "events").agg(*(reached(f(x)).alias(f"{q}_{end}") for q, x in at.items() for end, f in (("low", F.floor), ("high", F.ceil))))
+    return rows.select("region", "events", *(between(F.col(f"{q}_low"), F.col(f"{q}_high"), x - F.floor(x)).alias(q) for q, x in at.items()))
 
 
 def binned(events: DataFrame, edges: DataFrame, least: int = 200) -> DataFrame:

@@ -163,3 +163,21 @@ def test_quartiles_between_scores_that_differ_in_the_last_bit(spark):
     assert got == {r[0]: r[1:] for r in want}
     bins = validation.binned(df, validation.quartiles(df), 1).groupBy("region", "bin").count().collect()
     assert {(r.region, r.bin, r["count"]) for r in bins} == set(con.execute("SELECT region, CASE WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 WHEN score <= q3 THEN 3 ELSE 4 END b, count(*) FROM t JOIN (SELECT region, quantile_cont(score, 0.25) q1, quantile_cont(score, 0.5) q2, quantile_cont(score, 0.75) q3 FROM t GROUP BY 1) USING (region) GROUP BY 1, 2").fetchall())
+
+
+def test_holdout_bins_between_scores_that_differ_in_the_last_bit(spark):
+    low, high = 0.9249999999999999, 0.925
+    rows = [(0, x, True, 4, s) for x, s, n in ((low, 4, 4), (low, 2, 2), (high, 4, 1), (high, 2, 1)) for _ in range(n)] + [(0, 0.0, False, 0, 2)]
+    got = validation.holdout(spark.createDataFrame(rows, "region int, score double, event boolean, to_state int, s5 int"), ["s5"], 1)
+    # the third quartile lies a quarter of the way from low to high, which rounds to low
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 8, 0.625), (0, 1, 6, 4 / 6), (0, 4, 2, 0.5)]
+
+
+def test_quartiles_round_as_in_sql(spark):
+    pairs = [(0.8500000000000001, 0.865), (0.7000000000000001, 0.7058333333333333), (0.8049999999999999, 0.8089285714285714), (0.2, 0.9), (0.1, 0.30000000000000004), (0.3, 0.3)]
+    rows = [(4 * i + n, x) for i, p in enumerate(pairs) for n in range(4) for x in (*p, *[1.0] * n)]
+    got = {r.region: tuple(r)[1:] for r in validation.quartiles(spark.createDataFrame(rows, "region int, score double")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (region INT, score DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert got == {r[0]: r[1:] for r in con.execute("SELECT region, count(*), quantile_cont(score, 0.25), quantile_cont(score, 0.5), quantile_cont(score, 0.75) FROM t GROUP BY 1").fetchall()}
