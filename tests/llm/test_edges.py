@@ -461,3 +461,16 @@ def test_html_regions_without_marks():
 
 def test_long_conversation_scores_are_finite(docs):
     assert all(math.isfinite(r.score) for r in score_texts(docs.withColumn("held_out", F.lit(None).cast("boolean"))).collect())
+
+
+def test_block_bounds_are_one_constant(spark):
+    import bisect
+
+    from terrachron.llm.fingerprints import block_of
+
+    bounds = [(10 * i, (-1) ** i * i) for i in range(300)]
+    rows = spark.range(3500).select((F.col("id") - 20).alias("at"), (F.col("id") % 7 - 3).alias("h"))
+    got = rows.withColumn("block", block_of(([a for a, _ in bounds], [h for _, h in bounds])))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1 and "split(" not in plan  # that of the row; a second would read the bounds again at each step of each row
+    assert all(r.block == bisect.bisect_right(bounds, (r["at"], r.h)) for r in got.collect())
