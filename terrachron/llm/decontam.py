@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrachron.llm.shared import columns_free, settle, small
+from terrachron.llm.shared import columns_free, lean, settle, small
 from terrachron.llm.textcore import LOWER, as_text, chunks, hash_spans, mix, spans, windows
 
 WIDTH = 8
@@ -124,7 +124,7 @@ def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in chunks(as_text(b.column(1))):
+            for i, j, data, off in chunks(as_text(b.column(1)), 1 << 18):
                 t, v, doc = template(data, off)
                 if not len(t):
                     continue
@@ -169,7 +169,7 @@ def _windows(texts: DataFrame, sizes: list[int] | None, passes: object) -> DataF
 
     key = texts.schema.fields[0].dataType
     schema = T.StructType([T.StructField("id", key), *T.StructType.fromDDL("size int, h bigint, pos bigint, items array<bigint>, slots array<boolean>, exact boolean, total bigint, every bigint, k1 bigint, k2 bigint").fields])
-    return texts.mapInArrow(run, schema)
+    return lean(texts, run, schema)
 
 
 def _filter(hashes: DataFrame, n: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def _filter(hashes: DataFrame, n: int) -> np.ndarray:
             p = np.concatenate(_probes(b.column(0).to_numpy().view(np.uint64), bits))
             yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["at", "bit"])
 
-    words = hashes.select("h").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = lean(hashes.select("h"), run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out

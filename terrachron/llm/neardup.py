@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrachron.llm.components import components
-from terrachron.llm.shared import forget, settle, small
+from terrachron.llm.shared import forget, lean, settle, small
 from terrachron.llm.textcore import as_text, chunks, mix, shingles, words
 
 COORDINATES = 40
@@ -42,7 +42,7 @@ def least_matches(percent: int) -> int:
 
 
 def _each(col: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
-    for i, j, data, off in chunks(as_text(col)):
+    for i, j, data, off in chunks(as_text(col), 1 << 18):
         h, doc = words(data, off)
         yield shingles(h, doc, j - i, size)
 
@@ -76,7 +76,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 at += len(sets)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL("n bigint, h1 bigint, h2 bigint, sig array<bigint>").fields])
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return lean(docs.select(doc_id, text), run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -91,7 +91,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, size:
 
     schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
     few = small(wanted.withColumnRenamed("id", "_id"), wanted.count())
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(few, F.col("id") == F.col("_id"), "left_semi").mapInArrow(run, schema)
+    return lean(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(few, F.col("id") == F.col("_id"), "left_semi"), run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def merge_lists(lists: DataFrame, matches: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([int(c[k]) for c in found], schema_of) for k in (0, 1)], ["a", "b"])
 
     schema_of = pa.int64() if schema[0].dataType == T.LongType() else pa.int32()
-    return lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema).distinct()
+    return lean(lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

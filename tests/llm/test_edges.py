@@ -3,6 +3,8 @@
 import functools
 import itertools
 import math
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -491,3 +493,18 @@ def test_quality_learns_from_all_trusted_documents(spark, monkeypatch):
     with pytest.raises(Learned) as e:
         classify_quality(docs, labels)
     assert e.value.args == tuple(want)
+
+
+def test_python_tasks_read_small_batches(spark):
+    class Fake:
+        def ready(self):
+            return self
+
+        def score(self, texts):
+            held = sys._getframe(1).f_locals["b"].nbytes  # of the batch that the texts are from
+            return np.full(len(texts), -float(held)), np.full(len(texts), sum(map(len, texts)))
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 500).alias("text"))
+    got = quality.with_perplexity(docs, types.SimpleNamespace(value=Fake()), "text", "nll", "units")
+    n, most, run = got.agg(F.countDistinct("doc_id"), F.max("nll") * float(np.log10(2)), F.max("units")).first()
+    assert n == 4000 and most < 6 << 20 and run < 1 << 19  # 20 MB in one batch, and 1 MB in a run, before
